@@ -1,170 +1,243 @@
 """Answers against declared fields: typed values, and a reason where a value does not fit.
 
-Every function builds expressions over a VARIANT; the rules are those of lax validation: numbers and booleans may come as text, but
-text never comes from numbers.
+The rules are those of lax validation: numbers and truth values may come as text, but text never comes from numbers.
+
+Nearly all objects hold values of just the declared types, and for them one cast of the whole object is right. Only objects that do
+not are judged field by field. That part is long; it sits in a lambda, which Spark evaluates without generating code for it, so that
+the generated code of the common path stays small enough to be compiled, however many fields there are.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from labelmill.functions.jsondoc import member
 from labelmill.spec import OutputField
 
-# Texts taken as a number or a truth value.
-INTEGER_TEXT = r"(?U)^\s*[+-]?[0-9]+(_[0-9]+)*(\.0+)?\s*$"
-NUMBER_TEXT = r"(?i)^[+-]?((inf|infinity|nan)|([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?)$"
-BAD_UNDERSCORE = "^_|_$|__"
+# Texts taken as a number (the part to cast is the group; single underscores between digits do not count) or a truth value.
+INTEGER_TEXT = r"(?U)^\s*([+-]?[0-9]+(?:_[0-9]+)*)(?:\.0+)?\s*$"
+NUMBER_TEXT = (
+    r"(?iU)^\s*(?!_)(?!\S*__)(?!\S*_\s*$)(?:[+-](?=nan))?"
+    r"([+-]?_?(?:inf|infinity|nan|(?=[_.]*[0-9])[0-9_]*\.?[0-9_]*(?:e_?[+-]?_?[0-9][0-9_]*)?))\s*$"
+)
 TRUE_TEXTS = ("true", "yes", "on", "t", "y", "1")
 FALSE_TEXTS = ("false", "no", "off", "f", "n", "0")
+NOT_OBJECT = "Answer is not a JSON object"
 
-_INTEGER_LIMIT = float(2**63)
+_RAW, _PLAIN, _FITS, _SLOW = "_raw", "_plain", "_fits", "_slow"
 
 
-@dataclass(frozen=True)
-class Conformed:
-    """A typed value and the reason it does not fit (null where it does)."""
+def conform_fields(df: DataFrame, doc: Column, path: str, fields: Sequence[OutputField], misfit: str = "_misfit") -> DataFrame:
+    """Add a typed column per field of the object at ``path`` of a VARIANT, and ``misfit``: all reasons why the object does not fit.
 
-    value: Column
-    reason: Column
+    A field of a misfitting object may have a value; a missing or null one has its default or null.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    raw, plain, slow = F.col(_RAW), F.col(_PLAIN), F.col(_SLOW)
+    opened = df.select(*kept, _members(doc, path, fields).alias(_RAW), _typed_members(doc, path, fields).alias(_PLAIN))
+    fits = reduce(lambda a, b: a & b, [_fits(raw[f.name], plain[f.name], f) for f in fields])
+    tested = opened.select(*kept, _RAW, _PLAIN, F.coalesce(fits, F.lit(False)).alias(_FITS))
+    judged = tested.select(*kept, _PLAIN, _FITS, F.when(~F.col(_FITS), aside(raw, lambda r: _judge_members(r, fields))).alias(_SLOW))
+    values = [F.when(F.col(_FITS), plain[f.name]).otherwise(slow["value"][f.name]).alias(f.name) for f in fields]
+    return judged.select(*kept, *values, slow["reason"].alias(misfit))
 
 
-def conform(doc: Column, path: str, field: OutputField) -> Conformed:
-    """Typed value of ``field`` below ``path`` of a VARIANT."""
-    where = member(path, field.name)
-    raw = F.try_variant_get(doc, where, "variant")
-    return _with_absence(_typed(raw, field), F.schema_of_variant(raw), field)
+def aside(col: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(col)`` outside of the generated code, for rare and long expressions."""
+    return F.get(F.transform(F.array(col), build), 0)
 
 
-def _with_absence(typed: Conformed, kind: Column, field: OutputField) -> Conformed:
-    default = _default_literal(field)
-    value = F.when(kind.isNull(), default).when(kind == "VOID", F.lit(None)).otherwise(typed.value)
-    missing = F.lit("missing") if field.required else F.lit(None).cast("string")
-    null = F.lit(None).cast("string") if field.nullable else F.lit("null is not allowed")
-    return Conformed(value.cast(field.spark_type), F.when(kind.isNull(), missing).when(kind == "VOID", null).otherwise(typed.reason))
+def _fits(raw: Column, plain: Column, field: OutputField) -> Column:
+    """True where the plain cast of a value is its value. Not true for all values that fit, but for those in the field's own type."""
+    if _is_nested(field):
+        return F.lit(False)
+    kind = F.schema_of_variant(raw)
+    # Kinds of JSON values start differently, but for BIGINT and BOOLEAN: numeric fields take both.
+    own = {"string": kind == "STRING", "boolean": kind == "BOOLEAN", "integer": kind.startswith("B"), "number": F.left(kind, F.lit(1)).isin("B", "D")}[field.type]
+    if field.enum is not None:
+        own = own & plain.isin(*[F.lit(v) for v in field.enum])
+    if not field.required and field.default is None:
+        own = own | kind.isNull()
+    if field.nullable:
+        own = own | (kind == "VOID")
+    return own
+
+
+def _judge_members(raw: Column, fields: Sequence[OutputField]) -> Column:
+    parts = {f.name: _judge(raw[f.name], F.schema_of_variant(raw[f.name]), f) for f in fields}
+    reason = _joined([F.concat(F.lit(f"Field {n}: "), p.reason) for n, p in parts.items()])
+    value = F.struct(*[p.value.alias(n) for n, p in parts.items()])
+    return F.struct(value.alias("value"), F.when(raw.isNull(), NOT_OBJECT).otherwise(reason).alias("reason"))
+
+
+def _members(doc: Column, path: str, fields: Sequence[OutputField]) -> Column:
+    """The raw members of an object as a struct of VARIANTs: null where absent, a VARIANT null where null."""
+    return F.try_variant_get(doc, path, "struct<" + ", ".join(f"`{f.name.replace('`', '``')}`: variant" for f in fields) + ">")
+
+
+def _typed_members(doc: Column, path: str, fields: Sequence[OutputField]) -> Column:
+    """The members of an object by plain casts; those that cannot be cast are null."""
+    return F.try_variant_get(doc, path, T.StructType([T.StructField(f.name, f.spark_type) for f in fields]).simpleString())
+
+
+def _chain(cases: list[tuple[Column, str]]) -> Column:
+    """Text of the first condition that holds, else null."""
+    if not cases:
+        return F.lit(None).cast("string")
+    out = F.when(*cases[0])
+    for cond, text in cases[1:]:
+        out = out.when(cond, text)
+    return out
+
+
+def _joined(reasons: list[Column]) -> Column:
+    return F.nullif(F.concat_ws("; ", *reasons), F.lit(""))
+
+
+# --- scalars ------------------------------------------------------------------------------------------------------------------
+
+
+def _get(raw: Column, kind: str) -> Column:
+    return F.try_variant_get(raw, "$", kind)
+
 
+def _base(raw: Column, field: OutputField) -> Column:
+    """The plain cast of a scalar, right for values that come in the field's own type."""
+    return _get(raw, field.spark_type.simpleString())
 
-def _default_literal(field: OutputField) -> Column:
+
+def _scalar(raw: Column, kind: Column, base: Column, field: OutputField) -> Column:
+    """Typed value of a scalar, null if it has none. Enumerated values are never read from text of another type."""
+    from_text = field.enum is None
+    is_text = kind == "STRING"
+    if field.type == "string":
+        return F.when(is_text, base)
+    fraction = kind.startswith("D")  # DECIMAL or DOUBLE
+    if field.type == "boolean":
+        number = _get(raw, "double")
+        value = F.when(kind == "BOOLEAN", base).when(fraction | (kind == "BIGINT"), F.when(number.between(0, 1) & (number % 1 == 0), number == 1))
+        if from_text:
+            known = F.create_map(*[x for t in TRUE_TEXTS for x in (F.lit(t), F.lit(True))], *[x for t in FALSE_TEXTS for x in (F.lit(t), F.lit(False))])
+            value = value.when(is_text, F.try_element_at(known, F.lower(_get(raw, "string"))))
+        return value
+    own = kind.isin("BIGINT", "BOOLEAN")
+    if field.type == "integer":
+        # The cast cuts fractions off, so a number is an integer where it equals its cast.
+        value = F.when(own | (fraction & (base.cast("double") == _get(raw, "double"))), base)
+    else:
+        value = F.when(own | fraction, base)
+    if from_text:
+        part = F.regexp_extract(_get(raw, "string"), INTEGER_TEXT if field.type == "integer" else NUMBER_TEXT, 1)
+        value = value.when(is_text, F.replace(part, F.lit("_"), F.lit("")).try_cast(field.spark_type))
+    return value
+
+
+# What is said of a value that is not of its field's type.
+_NOT_OF_TYPE = {"string": "not a string", "integer": "not an integer", "number": "not a number", "boolean": "not a boolean"}
+
+
+def _refusals(kind: Column, value: Column, field: OutputField) -> list[tuple[Column, str]]:
+    """When and why a value is refused; at most one condition holds."""
+    out = []
+    if field.required:
+        out.append((kind.isNull(), "missing"))
+    if not field.nullable:
+        out.append((kind == "VOID", "null is not allowed"))
+    present = kind.isNotNull() & (kind != "VOID")
+    if field.enum is None:
+        out.append((present & value.isNull(), _NOT_OF_TYPE[field.type]))
+    else:
+        known = F.coalesce(value.isin(*[F.lit(v) for v in field.enum]), F.lit(False))
+        of_type = "not a string" if field.type == "string" else None
+        if of_type:
+            out.append((present & value.isNull(), of_type))
+            present = value.isNotNull()
+        out.append((present & ~known, "not one of the allowed values"))
+    return out
+
+
+def _filled(kind: Column, value: Column, field: OutputField) -> Column:
     if field.default is None:
-        return F.lit(None).cast(field.spark_type)
-    if field.type in ("object", "array"):
-        import json
+        return value
+    return F.when(kind.isNull(), _default(field)).otherwise(value)
+
 
+def _default(field: OutputField) -> Column:
+    if field.default is None:
+        return F.lit(None).cast(field.spark_type)
+    if _is_nested(field):
         return F.from_json(F.lit(json.dumps(field.default)), field.spark_type)
     return F.lit(field.default).cast(field.spark_type)
 
 
-def _typed(raw: Column, field: OutputField) -> Conformed:
-    if field.type == "object":
-        return _typed_object(raw, field)
-    if field.type == "array":
-        return _typed_array(raw, field)
-    kind = F.schema_of_variant(raw)
-    build = {"string": _string, "integer": _integer, "number": _number, "boolean": _boolean}[field.type]
-    value, reason = build(raw, kind, text_allowed=field.enum is None)
-    if field.enum is not None:
-        known = value.isin(*[F.lit(v) for v in field.enum])
-        reason = F.when(~F.coalesce(known, F.lit(False)), "not one of the allowed values")
-        value = F.when(known, value)
-    return Conformed(value, reason)
+# --- objects and arrays -------------------------------------------------------------------------------------------------------
 
 
-def _is_number(kind: Column) -> Column:
-    return (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")
+@dataclass(frozen=True)
+class _Judged:
+    value: Column
+    reason: Column
 
 
-def _string(raw: Column, kind: Column, text_allowed: bool) -> tuple[Column, Column]:
-    is_text = kind == "STRING"
-    return F.when(is_text, F.try_variant_get(raw, "$", "string")), F.when(~is_text, "not a string")
-
-
-def _integer(raw: Column, kind: Column, text_allowed: bool) -> tuple[Column, Column]:
-    number = F.try_variant_get(raw, "$", "double")
-    whole = _is_number(kind) & (number == F.floor(number).cast("double")) & (F.abs(number) < _INTEGER_LIMIT)
-    # A fraction beyond double precision still shows in the decimal itself.
-    exact = F.when(kind.startswith("DECIMAL"), F.try_variant_get(raw, "$", "decimal(38,19)") % 1 == 0).otherwise(True)
-    value = F.when(kind == "BIGINT", F.try_variant_get(raw, "$", "bigint"))
-    value = value.when(whole & F.coalesce(exact, F.lit(True)), F.try_variant_get(raw, "$", "bigint"))
-    value = value.when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("bigint"))
-    if text_allowed:
-        text = F.try_variant_get(raw, "$", "string")
-        digits = F.regexp_replace(F.regexp_replace(text, r"(?U)[\s_]", ""), r"\.0+$", "")
-        value = value.when((kind == "STRING") & text.rlike(INTEGER_TEXT), digits.try_cast("bigint"))
-    return value, F.when(value.isNull(), "not an integer")
-
-
-def _number(raw: Column, kind: Column, text_allowed: bool) -> tuple[Column, Column]:
-    value = F.when(_is_number(kind), F.try_variant_get(raw, "$", "double"))
-    value = value.when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("int").cast("double"))
-    if text_allowed:
-        text = F.regexp_replace(F.try_variant_get(raw, "$", "string"), r"(?U)^\s+|\s+$", "")
-        digits = F.lower(F.replace(text, F.lit("_"), F.lit("")))
-        # A signed NaN is not a text the cast knows.
-        digits = F.when(digits.endswith("nan"), F.lit("nan")).otherwise(digits)
-        fits = (kind == "STRING") & ~text.rlike(BAD_UNDERSCORE) & digits.rlike(NUMBER_TEXT)
-        value = value.when(fits, digits.try_cast("double"))
-    return value, F.when(value.isNull(), "not a number")
-
-
-def _boolean(raw: Column, kind: Column, text_allowed: bool) -> tuple[Column, Column]:
-    number = F.try_variant_get(raw, "$", "double")
-    value = F.when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean"))
-    value = value.when(_is_number(kind) & number.isin(0.0, 1.0), number == 1.0)
-    if text_allowed:
-        text = F.lower(F.try_variant_get(raw, "$", "string"))
-        value = value.when((kind == "STRING") & text.isin(*TRUE_TEXTS), True).when((kind == "STRING") & text.isin(*FALSE_TEXTS), False)
-    return value, F.when(value.isNull(), "not a boolean")
-
-
-def _typed_object(raw: Column, field: OutputField) -> Conformed:
-    parts = {f.name: conform(raw, "$", f) for f in field.fields}
-    is_object = F.schema_of_variant(raw).startswith("OBJECT")
-    value = F.struct(*[p.value.alias(n) for n, p in parts.items()])
-    inner = join_reasons({n: p.reason for n, p in parts.items()})
-    return Conformed(F.when(is_object, value), F.when(~is_object, "not an object").otherwise(inner))
+def _is_nested(field: OutputField) -> bool:
+    return field.type in ("object", "array")
 
 
-def _typed_array(raw: Column, field: OutputField) -> Conformed:
-    is_array = F.schema_of_variant(raw).startswith("ARRAY")
-    elements = F.try_variant_get(raw, "$", "array<variant>")
+def _judge(raw: Column, kind: Column, field: OutputField) -> _Judged:
+    """Value and reason as plain expressions, for fields inside of objects and arrays."""
+    if not _is_nested(field):
+        value = _scalar(raw, kind, _base(raw, field), field)
+        return _Judged(_filled(kind, value, field).cast(field.spark_type), _chain(_refusals(kind, value, field)))
+    inner = _judge_object(raw, kind, field) if field.type == "object" else _judge_array(raw, kind, field)
+    missing = F.lit("missing") if field.required else F.lit(None).cast("string")
+    null = F.lit(None).cast("string") if field.nullable else F.lit("null is not allowed")
+    value = F.when(kind.isNull(), _default(field)).when(kind != "VOID", inner.value)
+    return _Judged(value, F.when(kind.isNull(), missing).when(kind == "VOID", null).otherwise(inner.reason))
 
-    def item(v: Column) -> Conformed:
-        # Null elements reach this point as SQL null or as a VARIANT null.
-        kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-        return _with_absence(_typed(v, field.items), kind, field.items)
 
-    value = F.transform(elements, lambda v: item(v).value)
-    reasons = F.filter(F.transform(elements, lambda v, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), item(v).reason)), lambda r: r.isNotNull())
-    inner = F.when(F.size(reasons) > 0, F.array_join(reasons, ", "))
-    return Conformed(F.when(is_array, value), F.when(~is_array, "not an array").otherwise(inner))
+def _judge_object(raw: Column, kind: Column, field: OutputField) -> _Judged:
+    members = _members(raw, "$", field.fields)
+    parts = {f.name: _judge(members[f.name], F.schema_of_variant(members[f.name]), f) for f in field.fields}
+    is_object = kind.startswith("OBJECT")
+    reason = _joined([F.concat(F.lit(f"Field {n}: "), p.reason) for n, p in parts.items()])
+    return _Judged(F.when(is_object, F.struct(*[p.value.alias(n) for n, p in parts.items()])), F.when(~is_object, "not an object").otherwise(reason))
 
 
-def join_reasons(reasons: dict[str, Column]) -> Column:
-    """All reasons of a row in one text, ``Field <name>: <reason>`` each; null where there is none."""
-    texts = [F.concat(F.lit(f"Field {name}: "), reason) for name, reason in reasons.items()]
-    joined = F.concat_ws("; ", *texts)
-    return F.when(joined != "", joined)
+def _judge_array(raw: Column, kind: Column, field: OutputField) -> _Judged:
+    elements = _get(raw, "array<variant>")
 
+    def item(v: Column) -> _Judged:
+        # Null elements reach this point as SQL null or as a VARIANT null.
+        return _judge(v, F.coalesce(F.schema_of_variant(v), F.lit("VOID")), field.items)
 
-def best_effort(doc: Column, path: str, field: OutputField) -> Column:
-    """Typed value without any judgement: a value that does not fit is null; text fields take any value as text."""
-    where = member(path, field.name)
-    raw = F.try_variant_get(doc, where, "variant")
-    if field.type == "string":
-        return F.try_variant_get(raw, "$", "string")
-    if field.type in ("object", "array"):
-        return F.try_variant_get(raw, "$", field.spark_type.simpleString())
-    plain = OutputField(field.name, field.type, required=False, nullable=True)
-    return conform(doc, path, plain).value
+    reasons = F.transform(elements, lambda v, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), item(v).reason))
+    is_array = kind.startswith("ARRAY")
+    found = F.array_join(reasons, ", ")
+    return _Judged(F.when(is_array, F.transform(elements, lambda v: item(v).value)), F.when(~is_array, "not an array").when(found != "", found))
 
 
-def undeclared(doc: Column, fields: tuple[OutputField, ...]) -> Column:
-    """Members of an answer object outside ``fields`` as one VARIANT object; null if there are none."""
-    names = [f.name for f in fields]
-    rest = F.map_filter(F.try_variant_get(doc, "$", "map<string,variant>"), lambda k, _: ~k.isin(*names))
-    return F.when(F.size(rest) > 0, F.to_variant_object(rest))
+# --- loose mode ---------------------------------------------------------------------------------------------------------------
+
 
+def cast_fields(df: DataFrame, doc: Column, path: str, fields: Sequence[OutputField]) -> DataFrame:
+    """Add a typed column per field without any judgement: a value that does not fit is null; text fields take any value as text."""
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    lax = [OutputField(f.name, f.type, required=False, nullable=True) for f in fields if f.type in ("integer", "number", "boolean")]
+    direct = [f for f in fields if f.type in ("string", "object", "array")]
+    out = conform_fields(df, doc, path, lax, "_unused") if lax else df
+    if direct:
+        out = out.select("*", _typed_members(doc, path, direct).alias(_PLAIN))
+    chosen = [(F.col(_PLAIN)[f.name] if f in direct else F.col(f"`{f.name}`")).alias(f.name) for f in fields]
+    return out.select(*kept, *chosen)
 
+
+def undeclared(doc: Column, path: str, fields: Sequence[OutputField]) -> Column:
+    """Members of an object outside ``fields`` as one VARIANT object; null if there are none."""
+    rest = F.map_filter(F.try_variant_get(doc, path, "map<string,variant>"), lambda k, _: ~k.isin(*[f.name for f in fields]))
+    return F.when(F.size(rest) > 0, F.to_variant_object(rest))

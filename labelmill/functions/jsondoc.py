@@ -23,14 +23,6 @@ def is_exact(doc: Column, text: Column) -> Column:
     return F.coalesce(F.try_variant_get(doc, "$[1]", "bigint") == F.xxhash64(text), F.lit(False))
 
 
-def member(path: str, name: str) -> str:
-    """Path of an object's member, whatever characters its name holds."""
-    quote = '"' if "'" in name else "'"
-    if quote in name:
-        raise ValueError(f"A field name cannot hold both kinds of quotes: {name}")
-    return f"{path}[{quote}{name}{quote}]"
-
-
 def at(doc: Column, path: str, kind: str) -> Column:
     """Value at ``path`` (below the document's root) as Spark type ``kind``, null if absent or not castable."""
     return F.try_variant_get(doc, _DOC + path, kind)
@@ -41,16 +33,10 @@ def kind_at(doc: Column, path: str = "") -> Column:
     return F.schema_of_variant(at(doc, path, "variant"))
 
 
+# Texts of the values that count as nothing.
+BLANK_TEXTS = ("", "{}", "[]", "false", "0", "0.0", "-0.0")
+
+
 def is_blank(doc: Column, path: str) -> Column:
     """True where the value is absent, null, false, zero, or an empty text, array or object."""
-    kind = kind_at(doc, path)
-    text = at(doc, path, "string")
-    number = at(doc, path, "double")
-    return (
-        kind.isNull()
-        | kind.isin("VOID", "OBJECT<>")
-        | ((kind == "ARRAY<VOID>") & (text == "[]"))
-        | ((kind == "STRING") & (text == ""))
-        | ((kind == "BOOLEAN") & (text == "false"))
-        | ((kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE")) & (number == 0))
-    )
+    return F.coalesce(at(doc, path, "string").isin(*BLANK_TEXTS), F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.errors import LabelError
-from labelmill.functions.conform import best_effort, conform, join_reasons, undeclared
+from labelmill.functions.conform import NOT_OBJECT, aside, cast_fields, conform_fields, undeclared
 from labelmill.functions.constraints import violations
 from labelmill.functions.identity import decode_request_id
 from labelmill.functions.jsondoc import at, is_blank, is_exact, kind_at, parse_exact
@@ -19,12 +19,12 @@ UNKNOWN = "Unknown error"
 NO_MESSAGE = "No message in result"
 NO_CONTENT = "Empty content in message"
 NOT_JSON = "Failed to parse JSON"
-NOT_OBJECT = "Answer is not a JSON object"
 CONTENT_CHARS = 200
 
 ROW_ID = "_row_id"
 EXTRA = "_extra"
-_ANSWER = "$.result.message.content[0].text"
+# What a good line is read by; all of it is cast in one go.
+_HEAD = "struct<custom_id: string, result: struct<type: string, message: struct<content: array<struct<text: string>>>>>"
 
 
 def nonblank_lines(lines: DataFrame) -> DataFrame:
@@ -51,87 +51,78 @@ def parse_responses(lines: DataFrame, spec: LabelSpec, mode: str = "strict", kee
 
     enveloped = nonblank_lines(lines).select(*kept, line, parse_exact(line).alias("_env"))
     env = F.col("_env")
-    opened = enveloped.select(
-        *kept, line,
-        F.coalesce(at(env, ".custom_id", "string"), F.lit("")).alias("custom_id"),
-        at(env, ".result.type", "string").alias("_type"),
-        at(env, _ANSWER[1:], "string").alias("_text"),
-        _envelope_error(env, line).alias("_fault"),
+    head = F.col("_head")
+    headed = enveloped.select(*kept, line, "_env", at(env, "", _HEAD).alias("_head"), is_exact(env, line).alias("_whole"))
+    opened = headed.select(
+        *kept, line, F.coalesce(head["custom_id"], F.lit("")).alias("custom_id"), head["result"]["type"].alias("_type"),
+        F.get(head["result"]["message"]["content"], 0)["text"].alias("_text"), "_whole", "_env",
     )
+    faulted = opened.select(*kept, line, "custom_id", "_type", "_text", _envelope_error(env).alias("_fault"))
     text, fault = F.col("_text"), F.col("_fault")
-    answered = opened.select(*kept, line, "custom_id", "_type", "_text", "_fault",
-                             F.when(fault.isNull(), parse_exact(text)).alias("_ans"))
+    answered = faulted.select("*", F.when(fault.isNull(), parse_exact(text)).alias("_ans"))
 
     ans = F.col("_ans")
-    readable = is_exact(ans, text)
-    answer = at(ans, "", "variant")
     fields = spec.answer_fields
     if mode == "strict":
-        parts = {f.name: conform(ans, "$[0]", f) for f in fields}
-        values = [p.value.alias(n) for n, p in parts.items()]
-        misfit = join_reasons({n: p.reason for n, p in parts.items()})
+        typed = conform_fields(answered, ans, "$[0]", fields, "_misfit")
     else:
-        values = [best_effort(ans, "$[0]", f).alias(f.name) for f in fields]
-        values.append(undeclared(answer, fields).alias(EXTRA))
-        misfit = F.lit(None).cast("string")
-    judged = answered.select(
-        *kept, line, "custom_id", "_type", "_text", *values,
-        F.when(fault.isNotNull(), fault)
-        .when(~readable, NOT_JSON)
-        .when(~F.coalesce(kind_at(ans).startswith("OBJECT"), F.lit(False)), NOT_OBJECT)
-        .otherwise(misfit).alias("_error"),
-    )
+        typed = cast_fields(answered, ans, "$[0]", fields)
+        typed = typed.select("*", undeclared(ans, "$[0]", fields).alias(EXTRA), _object_only(ans).alias("_misfit"))
+    misfit = F.col("_misfit")
     if check_bounds:
         # Enumerations are part of strict conformance already.
-        broken = violations(fields, enums=mode == "loose")
-        judged = judged.withColumn("_error", F.coalesce("_error", F.when(F.size(broken) > 0, F.array_join(broken, "; "))))
+        broken = F.array_join(violations(fields, enums=mode == "loose"), "; ")
+        misfit = F.coalesce(misfit, F.when(broken != "", broken))
+    judged = typed.select("*", F.when(fault.isNotNull(), fault).when(~is_exact(ans, text), NOT_JSON).otherwise(misfit).alias("_error"))
 
     error = F.col("_error")
     shown = fields if keep_reasoning else spec.fields
     out = [F.when(error.isNull(), F.col(f"`{f.name}`")).alias(f.name) for f in shown]
     if mode == "loose":
         out.append(F.when(error.isNull(), F.col(EXTRA)).alias(EXTRA))
-    return judged.select(
+    result = F.struct(
         decode_request_id(F.col("custom_id")).alias(ROW_ID), *kept, "custom_id", *out,
         error.alias("error"),
         F.when(error == NOT_JSON, F.substring(F.coalesce("_text", F.lit("")), 1, CONTENT_CHARS)).alias("content"),
         F.when(error.isNotNull(), line).alias("raw"),
         F.coalesce("_type", F.lit("errored")).alias("state"),
     )
+    # A filter on the result must stay above this line: pushed below the projections, it would repeat the parsing of every row.
+    # Filters on what a generator yields are not pushed.
+    return judged.select(F.inline(F.array(result)))
+
 
+def _object_only(ans: Column) -> Column:
+    return F.when(~kind_at(ans).startswith("OBJECT"), NOT_OBJECT)
 
-def _envelope_error(env: Column, line: Column) -> Column:
+
+def _envelope_error(env: Column) -> Column:
     """First fault of the envelope, or null. A line with a good answer text passes on the first test and is not looked at again."""
-    good = is_exact(env, line) & (at(env, ".result.type", "string") == "succeeded") & at(env, _ANSWER[1:], "string").isNotNull()
+    whole, kind, text = F.col("_whole"), F.col("_type"), F.col("_text")
+    return F.when(~(whole & (kind == "succeeded") & text.isNotNull()) | kind.isNull(), aside(F.struct(env.alias("env"), whole, kind), _find_fault))
+
+
+def _find_fault(line: Column) -> Column:
+    env, whole, kind = line["env"], line["_whole"], line["_type"]
     message = F.coalesce(at(env, ".result.error.message", "string"), at(env, ".result.error.error.message", "string"), F.lit(UNKNOWN))
     return (
-        F.when(good, F.lit(None).cast("string"))
-        .when(~is_exact(env, line) | ~F.coalesce(kind_at(env).startswith("OBJECT"), F.lit(False)), MALFORMED)
+        F.when(~whole | ~kind_at(env).startswith("OBJECT"), MALFORMED)
         .when(is_blank(env, ".result"), NO_RESULT)
-        .when(~F.coalesce(at(env, ".result.type", "string") == "succeeded", F.lit(False)), message)
+        .when(kind.isNull() | (kind != "succeeded"), message)
         .when(is_blank(env, ".result.message"), NO_MESSAGE)
         .when(is_blank(env, ".result.message.content"), NO_CONTENT)
     )
 
 
 def answers(parsed: DataFrame, spec: LabelSpec, keep_reasoning: bool = True) -> DataFrame:
-    """The good answers: row id, further key columns, typed fields.
-
-    Rows are dropped by an ``inline`` of nothing instead of a filter: a filter would be pushed below the projections that parse and
-    so make every line be parsed twice.
-    """
-    meta = {"custom_id", "error", "content", "raw", "state"}
-    drop = meta | (set() if keep_reasoning else {f.name for f in spec.reasoning_fields})
-    cols = [c for c in parsed.columns if c not in drop]
-    row = F.struct(*[F.col(f"`{c}`") for c in cols])
-    return parsed.select(F.inline(F.when(F.col("error").isNull(), F.array(row))))
+    """The good answers: row id, further key columns, typed fields."""
+    drop = {"custom_id", "error", "content", "raw", "state"} | (set() if keep_reasoning else {f.name for f in spec.reasoning_fields})
+    return parsed.filter(F.col("error").isNull()).select(*[F.col(f"`{c}`") for c in parsed.columns if c not in drop])
 
 
 def error_rows(parsed: DataFrame) -> DataFrame:
     """The failed rows: ``_row_id``, ``custom_id``, ``error``, ``content``, ``raw``."""
-    cols = [ROW_ID, "custom_id", "error", "content", "raw"]
-    row = F.struct(*cols)
-    return parsed.select(F.inline(F.when(F.col("error").isNotNull(), F.array(row))))
+    return parsed.filter(F.col("error").isNotNull()).select(ROW_ID, "custom_id", "error", "content", "raw")
 
 
 def results_summary(parsed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.functions.cells import canonical_str
-from labelmill.functions.conform import conform
+from labelmill.functions.conform import conform_fields
 from labelmill.functions.constraints import violations
 from labelmill.functions.identity import decode_request_id, encode_request_id
 from labelmill.functions.tokens import cached_tokens, output_tokens, token_estimate
@@ -284,7 +284,7 @@ def results_ordered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k,
-    CASE event_id % 5 WHEN 3 THEN 'not an integer' WHEN 4 THEN 'missing' END AS reason FROM events""")
+    CASE event_id % 5 WHEN 3 THEN 'Field k: not an integer' WHEN 4 THEN 'Field k: missing' END AS reason FROM events""")
 def conform_strict(spark: SparkSession, folder: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     way = F.col("event_id") % 5
@@ -296,8 +296,8 @@ def conform_strict(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(F.lit('{"K": '), k, F.lit("}")))
     )
     docs = table(spark, folder, "events").select("event_id", F.try_parse_json(text).alias("doc"))
-    part = conform(F.col("doc"), "$", EVENT_SPEC.fields[0])
-    return docs.select("event_id", part.value.alias("k"), part.reason.alias("reason"))
+    typed = conform_fields(docs, F.col("doc"), "$", EVENT_SPEC.fields, "reason")
+    return typed.select("event_id", "k", "reason")
 
 
 NESTED_SPEC = (

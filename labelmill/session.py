@@ -35,6 +35,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **settings: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in settings.items():
         builder = builder.config(key, value)
