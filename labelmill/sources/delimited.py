@@ -16,6 +16,9 @@ SEPARATORS = (",", ";", "\t", "|")
 # Quotes inside a quoted cell are doubled.
 _QUOTING = {"header": True, "quote": '"', "escape": '"'}
 
+# Reading tells a quoted empty cell from a missing one: the latter stands for this text while parsing.
+_READING = _QUOTING | {"nullValue": "\ue000"}
+
 # Inference takes date-like cells as text: no cell can match this format.
 _NO_DATES = {"preferDate": False, "timestampFormat": "'never'yyyy"}
 
@@ -49,7 +52,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, schem
     text, so that leading zeros survive. Inference reads the input once more, and ``multi_line`` (cells may hold line breaks) makes
     a file one task: for large inputs give a schema, and set ``multi_line=False`` where no cell holds a line break.
     """
-    reader = spark.read.options(**_QUOTING, sep=sep or detect_separator(spark, path), multiLine=multi_line)
+    reader = spark.read.options(**_READING, sep=sep or detect_separator(spark, path), multiLine=multi_line)
     if schema is not None:
         return reader.schema(schema).csv(path)
     reader = reader.options(**_NO_DATES)
@@ -88,4 +91,4 @@ def check_delimited(spark: SparkSession, path: str, required: Sequence[str]) ->
 
 def _text_schema(spark: SparkSession, path: str) -> T.StructType:
     # Names only: without inference the header gives text columns.
-    return spark.read.options(**_QUOTING, sep=detect_separator(spark, path), multiLine=True).csv(path).schema
+    return spark.read.options(**_READING, sep=detect_separator(spark, path), multiLine=True).csv(path).schema
