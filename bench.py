@@ -24,7 +24,7 @@ from labelmill.functions.identity import encode_request_id  # noqa: E402
 from labelmill.session import local_session, shared_dir  # noqa: E402
 from labelmill.sources.records import read_lines, write_lines  # noqa: E402
 
-REGISTERED = ["label_rows", "infer_rows", "assign_ids", "batch_assign", "build_requests", "token_counts", "canonical_cells", "parse_responses", "error_rows",
+REGISTERED = ["label_rows", "infer_rows", "assign_ids", "batch_assign", "build_requests", "token_estimate", "canonical_cells", "parse_responses", "error_rows",
               "conform_strict", "constraint_check", "merge_results", "merge_dedup", "unanswered_rows", "preflight_report", "cost_exact", "batch_status",
               "batch_list", "scan_csv"]
 

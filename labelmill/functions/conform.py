@@ -10,8 +10,8 @@ the generated code of the common path stays small enough to be compiled, however
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,15 +49,20 @@ def conform_fields(df: DataFrame, doc: Column, path: str, fields: Sequence[Outpu
 
 
 def aside(col: Column, build: Callable[[Column], Column]) -> Column:
-    """``build(col)`` outside of the generated code, for rare and long expressions."""
+    """``build(col)`` outside of the generated code, for rare and long expressions; ``col`` is evaluated once."""
     return F.get(F.transform(F.array(col), build), 0)
 
 
 def _fits(raw: Column, plain: Column, field: OutputField) -> Column:
     """True where the plain cast of a value is its value. Not true for all values that fit, but for those in the field's own type."""
-    if _is_nested(field):
-        return F.lit(False)
     kind = F.schema_of_variant(raw)
+    if _is_nested(field):
+        pattern = _kind_pattern(field)
+        if pattern is None:
+            return F.lit(False)
+        own = kind.rlike(f"^{pattern}$")
+        # The kind of an array tells nothing of nulls among its elements.
+        return own & (F.size(F.array_compact(plain)) == F.size(plain)) if field.type == "array" else own
     # Kinds of JSON values start differently, but for BIGINT and BOOLEAN: numeric fields take both.
     own = {"string": kind == "STRING", "boolean": kind == "BOOLEAN", "integer": kind.startswith("B"), "number": F.left(kind, F.lit(1)).isin("B", "D")}[field.type]
     if field.enum is not None:
@@ -69,11 +74,32 @@ def _fits(raw: Column, plain: Column, field: OutputField) -> Column:
     return own
 
 
+# How the kind of a JSON value of a scalar type is worded.
+_KIND_PATTERNS = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "number": r"(BIGINT|DOUBLE|DECIMAL\([0-9]+,[0-9]+\))"}
+
+
+def _kind_pattern(field: OutputField) -> str | None:
+    """Pattern of the kinds that surely fit, None where the kind cannot tell: enumerations, and arrays of more than plain values."""
+    if field.enum is not None:
+        return None
+    if field.type == "array":
+        return f"ARRAY<{_KIND_PATTERNS[field.items.type]}>" if not _is_nested(field.items) and field.items.enum is None else None
+    if field.type != "object":
+        return _KIND_PATTERNS[field.type]
+    if any(f.type == "array" or not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", f.name) for f in field.fields):
+        return None
+    parts = [(f.name, _kind_pattern(f)) for f in sorted(field.fields, key=lambda f: f.name)]
+    return None if any(p is None for _, p in parts) else "OBJECT<" + ", ".join(f"{n}: {p}" for n, p in parts) + ">"
+
+
 def _judge_members(raw: Column, fields: Sequence[OutputField]) -> Column:
-    parts = {f.name: _judge(raw[f.name], F.schema_of_variant(raw[f.name]), f) for f in fields}
-    reason = _joined([F.concat(F.lit(f"Field {n}: "), p.reason) for n, p in parts.items()])
-    value = F.struct(*[p.value.alias(n) for n, p in parts.items()])
-    return F.struct(value.alias("value"), F.when(raw.isNull(), NOT_OBJECT).otherwise(reason).alias("reason"))
+    """Struct of ``value`` (a struct of the fields) and ``reason`` for an object given as ``_members``."""
+    def assemble(parts: Column) -> Column:
+        value = F.struct(*[parts[f.name]["value"].alias(f.name) for f in fields])
+        reason = _joined([F.concat(F.lit(f"Field {f.name}: "), parts[f.name]["reason"]) for f in fields])
+        return F.struct(value.alias("value"), F.when(raw.isNull(), NOT_OBJECT).otherwise(reason).alias("reason"))
+
+    return aside(F.struct(*[_judge(raw[f.name], f).alias(f.name) for f in fields]), assemble)
 
 
 def _members(doc: Column, path: str, fields: Sequence[OutputField]) -> Column:
@@ -179,47 +205,45 @@ def _default(field: OutputField) -> Column:
 # --- objects and arrays -------------------------------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class _Judged:
-    value: Column
-    reason: Column
-
-
 def _is_nested(field: OutputField) -> bool:
     return field.type in ("object", "array")
 
 
-def _judge(raw: Column, kind: Column, field: OutputField) -> _Judged:
-    """Value and reason as plain expressions, for fields inside of objects and arrays."""
+def _judge(raw: Column, field: OutputField) -> Column:
+    """Struct of ``value`` and ``reason`` for one value."""
     if not _is_nested(field):
-        value = _scalar(raw, kind, _base(raw, field), field)
-        return _Judged(_filled(kind, value, field).cast(field.spark_type), _chain(_refusals(kind, value, field)))
-    inner = _judge_object(raw, kind, field) if field.type == "object" else _judge_array(raw, kind, field)
-    missing = F.lit("missing") if field.required else F.lit(None).cast("string")
-    null = F.lit(None).cast("string") if field.nullable else F.lit("null is not allowed")
-    value = F.when(kind.isNull(), _default(field)).when(kind != "VOID", inner.value)
-    return _Judged(value, F.when(kind.isNull(), missing).when(kind == "VOID", null).otherwise(inner.reason))
-
-
-def _judge_object(raw: Column, kind: Column, field: OutputField) -> _Judged:
-    members = _members(raw, "$", field.fields)
-    parts = {f.name: _judge(members[f.name], F.schema_of_variant(members[f.name]), f) for f in field.fields}
-    is_object = kind.startswith("OBJECT")
-    reason = _joined([F.concat(F.lit(f"Field {n}: "), p.reason) for n, p in parts.items()])
-    return _Judged(F.when(is_object, F.struct(*[p.value.alias(n) for n, p in parts.items()])), F.when(~is_object, "not an object").otherwise(reason))
-
-
-def _judge_array(raw: Column, kind: Column, field: OutputField) -> _Judged:
-    elements = _get(raw, "array<variant>")
-
-    def item(v: Column) -> _Judged:
-        # Null elements reach this point as SQL null or as a VARIANT null.
-        return _judge(v, F.coalesce(F.schema_of_variant(v), F.lit("VOID")), field.items)
-
-    reasons = F.transform(elements, lambda v, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), item(v).reason))
-    is_array = kind.startswith("ARRAY")
-    found = F.array_join(reasons, ", ")
-    return _Judged(F.when(is_array, F.transform(elements, lambda v: item(v).value)), F.when(~is_array, "not an array").when(found != "", found))
+        def scalar(kind: Column) -> Column:
+            return aside(_scalar(raw, kind, _base(raw, field), field), lambda value: _judged(
+                _filled(kind, value, field), _chain(_refusals(kind, value, field)), field))
+
+        return aside(F.schema_of_variant(raw), scalar)
+
+    inner = _judge_object if field.type == "object" else _judge_array
+    missing = _judged(_default(field), F.lit("missing") if field.required else F.lit(None), field)
+    null = _judged(F.lit(None), F.lit(None) if field.nullable else F.lit("null is not allowed"), field)
+    return aside(F.schema_of_variant(raw), lambda kind: F.when(kind.isNull(), missing).when(kind == "VOID", null).otherwise(inner(raw, kind, field)))
+
+
+def _judged(value: Column, reason: Column, field: OutputField) -> Column:
+    return F.struct(value.cast(field.spark_type).alias("value"), reason.cast("string").alias("reason"))
+
+
+def _judge_object(raw: Column, kind: Column, field: OutputField) -> Column:
+    judged = aside(_members(raw, "$", field.fields), lambda m: _judge_members(m, field.fields))
+    return F.when(kind.startswith("OBJECT"), aside(judged, lambda j: _judged(j["value"], j["reason"], field))).otherwise(
+        _judged(F.lit(None), F.lit("not an object"), field))
+
+
+def _judge_array(raw: Column, kind: Column, field: OutputField) -> Column:
+    # Null elements come as SQL null; as a VARIANT null they are judged like null members.
+    null = F.parse_json(F.lit("null"))
+    judged = F.transform(_get(raw, "array<variant>"), lambda v: _judge(F.coalesce(v, null), field.items))
+
+    def assemble(items: Column) -> Column:
+        reasons = F.transform(items, lambda j, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), j["reason"]))
+        return _judged(F.transform(items, lambda j: j["value"]), F.nullif(F.array_join(reasons, ", "), F.lit("")), field)
+
+    return F.when(kind.startswith("ARRAY"), aside(judged, assemble)).otherwise(_judged(F.lit(None), F.lit("not an array"), field))
 
 
 # --- loose mode ---------------------------------------------------------------------------------------------------------------

@@ -20,8 +20,15 @@ VALUES = [
     "\t5\n", " 5", "000", "-0", "1_000.00", "5.0_0", "５", "nan", "NaN", "inf", "-Infinity", "+inf", "infinity", "iNf", "+nan",
     "-nan", "1e5", "1E5", ".5", "+.5", "1_0.5", "1e400", "e5", "5f", "5d", "1.5e-3", "true", "TRUE", "t", "yes", "on", "y", "off", "f", "n", "no",
     "false", " true", "tRuE", "01", "1.0", "0", "1", "2", "a", "A", "b", " a",
+    [1, 2], [1, None], [1, 2.5], ["1", 2], [1.5, 2.5], {"a": 1, "b": "x"}, {"a": "1", "b": "x"}, {"a": 1}, {"a": 1, "b": None}, {"a": 1, "b": "x", "c": 2},
+    {"a: BIGINT, b": "x"}, {"a": 1.0, "b": ""}, {"A": 1, "b": "x"},
 ]
 
+class Pair(pydantic.BaseModel):
+    a: int
+    b: str
+
+
 KINDS = {
     "integer": (int, {}),
     "number": (float, {}),
@@ -32,6 +39,8 @@ KINDS = {
     "enum_num": (Literal[0.5, 2.0], {}),
     "optional": (Optional[int], {}),
     "ints": (list[int], {}),
+    "numbers": (list[float], {}),
+    "pair": (Pair, {}),
 }
 
 
@@ -47,6 +56,8 @@ def expected(m, value):
 
 
 def same(a, b):
+    if isinstance(b, pydantic.BaseModel):
+        return a.asDict() == b.model_dump()
     return type(a) is type(b) and (a == b or (a != a and b != b))
 
 
@@ -111,6 +122,9 @@ class Whole(pydantic.BaseModel):
 
 
 NESTED = [
+    {"parts": [{"word": "a: STRING, weight", "weight": 1}], "main": {"a: STRING, weight": 1}},
+    {"parts": [], "main": {"word: STRING, weight": 2, "extra": 1}},
+    {"parts": [], "main": {"word": "b", "weight": 2, "extra": 1}},
     {"parts": [{"word": "a", "weight": 1}], "main": {"word": "b", "weight": "2"}},
     {"parts": [], "main": {"word": "b", "weight": 2.5}},
     {"parts": [{"word": "a", "weight": 1}, {"word": 3, "weight": 1}], "main": {"word": "b", "weight": 2}},
