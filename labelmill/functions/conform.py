@@ -20,12 +20,11 @@ from pyspark.sql import types as T
 
 from labelmill.spec import OutputField
 
-# Texts taken as a number (the part to cast is the group; single underscores between digits do not count) or a truth value.
+# Texts taken as a number or a truth value. The integer to cast is the group. A number is looked at without the white space
+# around it, or without underscores inside of it, but not both.
 INTEGER_TEXT = r"(?U)^\s*([+-]?[0-9]+(?:_[0-9]+)*)(?:\.0+)?\s*$"
-NUMBER_TEXT = (
-    r"(?iU)^\s*(?!_)(?!\S*__)(?!\S*_\s*$)(?:[+-](?=nan))?"
-    r"([+-]?_?(?:inf|infinity|nan|(?=[_.]*[0-9])[0-9_]*\.?[0-9_]*(?:e_?[+-]?_?[0-9][0-9_]*)?))\s*$"
-)
+NUMBER_TEXT = r"(?i)^[+-]?(?:inf|infinity|nan|(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:e[+-]?[0-9]+)?)$"
+NUMBER_BAD = r"(?U)^_|_$|__|^\s.*_|_.*\s$"
 TRUE_TEXTS = ("true", "yes", "on", "t", "y", "1")
 FALSE_TEXTS = ("false", "no", "off", "f", "n", "0")
 NOT_OBJECT = "Answer is not a JSON object"
@@ -159,11 +158,20 @@ def _scalar(raw: Column, kind: Column, base: Column, field: OutputField) -> Colu
     else:
         value = F.when(own | fraction, base)
     if from_text:
-        part = F.regexp_extract(_get(raw, "string"), INTEGER_TEXT if field.type == "integer" else NUMBER_TEXT, 1)
-        value = value.when(is_text, F.replace(part, F.lit("_"), F.lit("")).try_cast(field.spark_type))
+        # Only what is known to be a number is cast: a cast that fails costs far more than the rest.
+        value = value.when(is_text, _digits(_get(raw, "string"), field).try_cast(field.spark_type))
     return value
 
 
+def _digits(text: Column, field: OutputField) -> Column:
+    """The text to cast to a number, null if it is none."""
+    if field.type == "integer":
+        return F.nullif(F.replace(F.regexp_extract(text, INTEGER_TEXT, 1), F.lit("_"), F.lit("")), F.lit(""))
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$|_", "")
+    # A signed NaN is not a text the cast knows.
+    return F.when(~text.rlike(NUMBER_BAD) & bare.rlike(NUMBER_TEXT), F.regexp_replace(bare, "(?i)^[+-]nan$", "nan"))
+
+
 # What is said of a value that is not of its field's type.
 _NOT_OF_TYPE = {"string": "not a string", "integer": "not an integer", "number": "not a number", "boolean": "not a boolean"}
 

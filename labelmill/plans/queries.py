@@ -11,7 +11,7 @@ from labelmill.functions.cells import canonical_str
 from labelmill.functions.conform import conform_fields
 from labelmill.functions.constraints import violations
 from labelmill.functions.identity import decode_request_id, encode_request_id
-from labelmill.functions.tokens import cached_tokens, output_tokens, token_estimate
+from labelmill.functions.tokens import token_estimate
 from labelmill.operators import batches as B
 from labelmill.operators import cost as C
 from labelmill.operators import ids as I
