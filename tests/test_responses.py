@@ -8,8 +8,8 @@ from labelmill.operators.responses import answers, error_rows, parse_responses,
 from labelmill.spec import LabelSpec, OutputField
 
 SENTIMENT = LabelSpec(
-    system="You are a sentiment classifier.",
-    template="Classify: {text}",
+    system="You judge moods.",
+    template="Mood of: {text}",
     fields=(
         OutputField("sentiment", "string", "The sentiment", enum=("positive", "negative", "neutral")),
         OutputField("confidence", "number", "Confidence"),
