@@ -24,31 +24,30 @@ _DOC = ["_id", "_hash"]
 
 
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id, _hash, line, template``: every template of every line that is looked at (templates as two hashes)."""
+    """``_id, _hash, line, leaf, key``: every template of every line that is looked at, as the hashes of its leaf and of what it fixes there."""
     text = F.col(f"`{text_col}`")
     lines = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(F.split(text, "\n")).alias("line", "body"))
-    body = F.when(F.col("body").rlike("[0-9]"), F.regexp_replace("body", r"[^ \t\r]*[0-9][^ \t\r]*", "<*>")).otherwise(F.col("body"))
-    tokens = F.array_remove(F.split(body, r"[ \t\r]+"), "")
-    rows = lines.select(*_DOC, "line", tokens.alias("t")).withColumn("n", F.size("t")).where(F.col("n") >= MIN_TOKENS)
+    tokens = F.array_remove(F.split("body", r"[ \t\r]+"), "")
+    masked = F.when(F.col("body").rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(tokens)
+    # As the output of a generator, tokens are computed once, however often they are used below.
+    rows = lines.select(*_DOC, "line", F.explode(F.array(masked)).alias("t")).withColumn("n", F.size("t")).where(F.col("n") >= MIN_TOKENS)
     third = F.ceil((F.col("n") - DEPTH) / 3).cast("int")
-    part = [F.slice("t", DEPTH + 1 + k * third, third) for k in range(3)]
-    leaf = F.slice("t", 1, DEPTH)
-
-    def key(kind: int, *parts) -> F.Column:
-        return F.struct(F.xxhash64(F.lit(kind), F.col("n"), *parts).alias("a"), F.hash(F.lit(kind), *parts).alias("b"))
-
-    open_parts = F.array(*[key(k + 1, leaf, *[part[j] for j in range(3) if j != k]) for k in range(3)])
-    own = F.array(key(0, F.col("t")))
-    return rows.select(*_DOC, "line", F.when(F.col("n") >= LONG, F.concat(own, open_parts)).otherwise(own).alias("keys")).select(*_DOC, "line", F.explode("keys").alias("k")).select(*_DOC, "line", "k.a", "k.b")
+    parts = [F.xxhash64(F.slice("t", DEPTH + 1 + k * third, third)).alias(f"p{k}") for k in range(3)]
+    # Again once only, and in little generated code: large methods are not compiled.
+    hashed = rows.select(*_DOC, "line", "n", F.explode(F.array(F.struct(F.xxhash64("n", F.slice("t", 1, DEPTH)).alias("leaf"), F.xxhash64("t").alias("whole"), *parts))).alias("h"))
+    open_parts = [F.xxhash64(F.lit(k), *[f"h.p{j}" for j in range(3) if j != k]) for k in range(3)]
+    own = F.array("h.whole")
+    keys = F.when(F.col("n") >= LONG, F.array("h.whole", *open_parts)).otherwise(own)
+    return hashed.select(*_DOC, "line", F.col("h.leaf").alias("leaf"), F.explode(keys).alias("key"))
 
 
 def recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, _hash, lines``: for each document with lines to drop, their numbers."""
     parts = stage(templates(docs, id_col, text_col), "templates")
-    held = parts.groupBy("a", "b", *_DOC).agg(F.min("line").alias("line"))
-    shared = held.groupBy("a", "b").agg(F.count("*").alias("docs"), F.min(F.struct("_id", "_hash", "line")).alias("first")).where(F.col("docs") >= min_docs)
-    shared = stage(shared.select("a", "b", "first"), "recurring")
-    later = parts.join(shared, ["a", "b"]).where(~F.struct("_id", "_hash", "line").eqNullSafe(F.col("first")))
+    held = parts.groupBy("leaf", "key", *_DOC).agg(F.min("line").alias("line"))
+    shared = held.groupBy("leaf", "key").agg(F.count("*").alias("docs"), F.min(F.struct("_id", "_hash", "line")).alias("first")).where(F.col("docs") >= min_docs)
+    shared = stage(shared.select("leaf", "key", "first"), "recurring")
+    later = parts.join(shared, ["leaf", "key"]).where(~F.struct("_id", "_hash", "line").eqNullSafe(F.col("first")))
     return later.groupBy(*_DOC).agg(F.collect_set("line").alias("lines"))  # at most a document's lines
 
 
