@@ -28,7 +28,8 @@ from labelmill.llm.common import chunked, stage
 
 CAPACITY = 4096
 END_ID = 1
-_KEPT_WORDS = 400_000  # a worker forgets its words beyond these; they are only encoded again
+_APART = "\x01"
+_KEPT_WORDS = 800_000  # a worker forgets its words beyond these; they are only encoded again
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,6 +45,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.apart,) = self.tokenizer.encode(_APART, add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
@@ -51,22 +53,33 @@ class WordEncoder:
         self.ids, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _ids(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each word. Many words are encoded as one text, told apart by a sign whose one id no other text has."""
+        out, plain = [np.zeros(0, np.uint32)] * len(words), [i for i, w in enumerate(words) if _APART not in w]
+        for begin in range(0, len(plain), 5000):
+            part = plain[begin : begin + 5000]
+            ids = np.array(self.tokenizer.encode(f" {_APART} ".join([words[i] for i in part]), add_special_tokens=False).ids, np.uint32)
+            bounds = np.flatnonzero(ids == self.apart)
+            for i, a, b in zip(part, [-1, *bounds.tolist()], [*bounds.tolist(), len(ids)], strict=True):
+                out[i] = ids[a + 1 : b]
+        for i, w in enumerate(words):
+            if _APART in w:
+                out[i] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+        return out
+
     def _learn(self, words: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        encoded = self._ids(words)
         n = len(self.known)
-        sizes = np.fromiter((len(e) for e in encoded), np.int64, len(encoded))
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         while n + len(words) > len(self.begin):
             self.begin, self.size = np.concatenate([self.begin, self.begin]), np.concatenate([self.size, self.size])
         while self.used + sizes.sum() > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
         self.begin[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(words)] = sizes
-        for e in encoded:
-            ids = e.ids
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-        for i, word in enumerate(words):
-            self.known[word] = n + i
+        self.ids[self.used : self.used + sizes.sum()] = np.concatenate(encoded)
+        self.used += int(sizes.sum())
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > _KEPT_WORDS:
