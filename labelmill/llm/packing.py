@@ -14,21 +14,24 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import chunked, stage
+from labelmill.llm.common import chunked, stage, text_buffer, word_hashes, word_spans
 
 CAPACITY = 4096
 END_ID = 1
 _APART = "\x01"
+_BREAKS = np.zeros(256, bool)
+_BREAKS[[9, 10, 13, 32]] = True
 _KEPT_WORDS = 800_000  # a worker forgets its words beyond these; they are only encoded again
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -36,38 +39,39 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordEncoder:
     """Token ids of whole texts for a tokenizer that drops white space and never merges over it: every run between spaces is encoded once.
 
-    Runs are cut at blanks, tabs and line ends alone, which such a tokenizer drops; within a run, the library does all.
+    Runs are cut at blanks, tabs and line ends alone, which such a tokenizer drops; within a run, the library does all. Known runs are looked
+    up by a 64-bit hash.
     """
 
-    _run = re.compile(r"[^ \t\n\r]+")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
         (self.apart,) = self.tokenizer.encode(_APART, add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
         self.ids, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
     def _ids(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word. Many words are encoded as one text, told apart by a sign whose one id no other text has."""
         out, plain = [np.zeros(0, np.uint32)] * len(words), [i for i, w in enumerate(words) if _APART not in w]
-        for begin in range(0, len(plain), 5000):
-            part = plain[begin : begin + 5000]
-            ids = np.array(self.tokenizer.encode(f" {_APART} ".join([words[i] for i in part]), add_special_tokens=False).ids, np.uint32)
-            bounds = np.flatnonzero(ids == self.apart)
-            for i, a, b in zip(part, [-1, *bounds.tolist()], [*bounds.tolist(), len(ids)], strict=True):
+        parts = [plain[begin : begin + 5000] for begin in range(0, len(plain), 5000)]
+        encoded = self.tokenizer.encode_batch_fast([f" {_APART} ".join([words[i] for i in part]) for part in parts], add_special_tokens=False)
+        for part, encoding in zip(parts, encoded, strict=True):
+            ids = np.array(encoding.ids, np.uint32)
+            bounds = np.flatnonzero(ids == self.apart).tolist()
+            for i, a, b in zip(part, [-1, *bounds], [*bounds, len(ids)], strict=True):
                 out[i] = ids[a + 1 : b]
         for i, w in enumerate(words):
             if _APART in w:
                 out[i] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
         return out
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, hashes: list[int], words: list[str]) -> np.ndarray:
         encoded = self._ids(words)
         n = len(self.known)
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
@@ -79,20 +83,24 @@ class WordEncoder:
         self.size[n : n + len(words)] = sizes
         self.ids[self.used : self.used + sizes.sum()] = np.concatenate(encoded)
         self.used += int(sizes.sum())
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.known.update(zip(hashes, range(n, n + len(words)), strict=True))
+        return np.arange(n, n + len(words))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         if len(self.known) > _KEPT_WORDS:
             self._forget()
-        runs = [self._run.findall(t) for t in texts]
-        known = self.known
-        fresh = {w for r in runs for w in r if w not in known}
-        if fresh:
-            self._learn(sorted(fresh))
-            known = self.known
+        data, at = text_buffer(texts)
+        begins, ends, first = word_spans(data, at, _BREAKS)
+        distinct, sample, inverse = np.unique(word_hashes(data, begins, ends, fold_case=False), return_index=True, return_inverse=True)
+        places = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            raw = data.tobytes()
+            spans = zip(begins[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)
+            places[new] = self._learn(distinct[new].tolist(), [raw[a:b].decode() for a, b in spans])
         out = []
-        for r in runs:
-            words = np.fromiter(map(known.__getitem__, r), np.int64, len(r))
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            words = places[inverse[a:b]]
             sizes = self.size[words]
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0
@@ -117,7 +125,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, ca
         encoder = _encoder(tokenizer)
         for batch in chunked(batches, "text"):
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
