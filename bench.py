@@ -46,7 +46,7 @@ def main() -> None:
         return R.parse_responses(read_lines(spark, answered), DOCUMENT_SPEC)
 
     def collect():
-        return merge_results(id_from_column(documents, "doc_id"), R.answers(parse(), DOCUMENT_SPEC), hot=False)
+        return merge_results(id_from_column(documents, "doc_id"), R.answers(parse(), DOCUMENT_SPEC))
 
     stages = {"stage_prepare": prepare, "stage_parse": parse, "stage_collect": collect}
     times = {}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.operators.ids import BATCH_NO
+from labelmill.operators.responses import nonblank_lines
 from labelmill.sources.records import read_or_empty
 
 # Service states a batch keeps, what any other becomes, and those that end it.
@@ -45,15 +46,17 @@ def progress(succeeded: Column, errored: Column, total: Column) -> Column:
 def batch_status(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Request counts per batch and state, with status, ``is_done`` and ``progress``.
 
-    ``requests`` has ``custom_id`` and ``batch_no``; ``responses`` has ``custom_id`` and ``state``. A request without a response is
+    ``requests`` has ``custom_id`` and ``batch_no``; ``responses`` has ``custom_id`` and ``state``, and ``batch_no`` where a row may be
+    in several batches (``response_states`` reads these from lines without parsing the answers). A request without a response is
     ``processing``. Several responses to a request count once, by the best state. They are combined before the shuffle that the join
     then uses too.
     """
     best = F.min(F.when(F.col("state") == "succeeded", "0succeeded").otherwise(F.concat(F.lit("1"), F.col("state"))))
-    one = responses.groupBy("custom_id").agg(best.alias("_best"))
-    known = F.substring("_best", 2, 20)
+    keys = ["custom_id", BATCH_NO] if BATCH_NO in responses.columns else ["custom_id"]
+    one = responses.groupBy(*keys).agg(best.alias("_best"))
+    known = F.expr("substring(_best, 2)")
     state = F.when(F.col("_best").isNull(), "processing").when(known.isin(*REQUEST_STATES), known).otherwise("errored")
-    joined = requests.select("custom_id", BATCH_NO).join(one, "custom_id", "left").select(BATCH_NO, state.alias("state"))
+    joined = requests.select("custom_id", BATCH_NO).join(one, keys, "left").select(BATCH_NO, state.alias("state"))
     counted = joined.groupBy(BATCH_NO).agg(
         F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("state") == s).alias(s) for s in REQUEST_STATES]
     )
@@ -65,6 +68,14 @@ def batch_status(requests: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+def response_states(lines: DataFrame) -> DataFrame:
+    """``custom_id``, ``state`` and the further columns of response lines, read from the envelope alone; the answers are not parsed."""
+    kept = [F.col(f"`{c}`") for c in lines.columns if c not in ("value", "custom_id", "state")]
+    head = F.from_json("value", "custom_id string, result struct<type: string>")
+    read = nonblank_lines(lines).select(*kept, head.alias("_head"))
+    return read.select(*kept, F.coalesce("_head.custom_id", F.lit("")).alias("custom_id"), F.coalesce("_head.result.type", F.lit("errored")).alias("state"))
+
+
 def append_batch_log(changes: DataFrame, path: str) -> None:
     """Add state changes of batches to the log. The log only grows; the latest row of a batch is its state."""
     changes.select(*[f.split()[0] for f in LOG_SCHEMA.split(", ")]).write.mode("append").parquet(path)
@@ -82,8 +93,8 @@ def latest_batches(log: DataFrame) -> DataFrame:
     return log.groupBy("batch_id").agg(newest.alias("s")).select("batch_id", *[F.col(f"s.{c}").alias(c) for c in rest])
 
 
-def batch_list(log: DataFrame, limit: int | None = LISTED_BATCHES) -> DataFrame:
-    """Batches newest first, formatted for display; ``limit=None`` lists all of them."""
+def batch_list(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Batches newest first, formatted for display: all of them, or the ``limit`` newest."""
     newest = latest_batches(log).orderBy(F.desc("created_at"), "batch_id")
     if limit is not None:
         newest = newest.limit(limit)

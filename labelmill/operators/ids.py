@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelmill.errors import SpecError
@@ -18,10 +17,6 @@ BATCH_NO = "batch_no"
 
 # Row position within a task: the low bits of monotonically_increasing_id.
 _POSITION_MASK = (1 << 33) - 1
-_PART, _POS, _OFFSET = "_part", "_pos", "_offset"
-
-# Offsets tables up to this many rows (16 bytes each) are broadcast; above it the join strategy is left to Spark.
-_BROADCAST_ROWS = 1_000_000
 
 
 def id_from_column(df: DataFrame, id_column: str, keep: bool = True, row_id: str = ROW_ID) -> DataFrame:
@@ -39,10 +34,21 @@ def spread_order(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     borders inside a hot key. All three are the same when a lost task is run again.
     """
     keys = [c if isinstance(c, Column) else F.col(f"`{c}`") for c in order_by]
-    names = [f"_k{i}" for i in range(len(keys))]
+    names = _free(df, [*(f"_k{i}" for i in range(len(keys))), "_content", "_source"])
     content = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType.simpleString())])
-    tagged = df.select("*", *[k.alias(n) for k, n in zip(keys, names)], content.alias("_content"), F.spark_partition_id().alias("_source"))
-    return tagged.orderBy(*names, "_content", "_source").drop(*names, "_content", "_source")
+    tagged = df.select("*", *[k.alias(n) for k, n in zip([*keys, content, F.spark_partition_id()], names, strict=True)])
+    return tagged.orderBy(*names).drop(*names)
+
+
+def _free(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """The names, with underscores in front where the table has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def _hashable(type_name: str) -> bool:
@@ -64,11 +70,11 @@ def assign_ids(df: DataFrame, order_by: Sequence[str | Column] | None = None, of
     spark = df.sparkSession
     path = staging or shared_dir(spark, "numbered")
     ordered = spread_order(df, order_by) if order_by else df
-    placed = ordered.select("*", F.spark_partition_id().alias(_PART), F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)).alias(_POS))
+    part, pos = _free(df, ["_part", "_pos"])
+    placed = ordered.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)).alias(pos))
     placed.write.parquet(path)
     staged = spark.read.schema(placed.schema).parquet(path)
-    counts = staged.groupBy(_PART).agg(F.count(F.lit(1)).alias("n"))
-    return _add_offsets(staged, counts, F.col(_POS), offset, row_id, row_no)
+    return _add_offsets(staged, staged, part, pos, offset, row_id, row_no)
 
 
 def number_files(spark: SparkSession, path: str, offset: int = 1, row_id: str = ROW_ID, row_no: str = ROW_NO) -> DataFrame:
@@ -77,22 +83,24 @@ def number_files(spark: SparkSession, path: str, offset: int = 1, row_id: str =
     The count per file comes from the file footers. The numbers are stable as long as the files are.
     """
     table = spark.read.parquet(path)
-    source = table.select("*", F.col("_metadata.file_path").alias(_PART), F.col("_metadata.row_index").alias(_POS))
-    counts = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias(_PART)).agg(F.count(F.lit(1)).alias("n"))
-    return _add_offsets(source, counts, F.col(_POS), offset, row_id, row_no)
-
-
-def _add_offsets(source: DataFrame, counts: DataFrame, position: Column, offset: int, row_id: str, row_no: str) -> DataFrame:
-    # One row per written or listed file: the driver has planned as many tasks already.
-    sizes = sorted((r[0], r["n"]) for r in counts.collect())
-    starts = [0, *accumulate(n for _, n in sizes)]
-    rows = [(part, start) for (part, _), start in zip(sizes, starts)]
-    key = source.schema[_PART].dataType.simpleString()
-    offsets = source.sparkSession.createDataFrame(rows, f"{_PART} {key}, {_OFFSET} bigint")
-    if len(rows) <= _BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    rest = [F.col(f"`{c}`") for c in source.columns if c not in (_PART, _POS)]
-    numbered = source.join(offsets, _PART).withColumn(row_no, position + F.col(_OFFSET) + F.lit(offset).cast("bigint"))
+    part, pos = _free(table, ["_part", "_pos"])
+    source = table.select("*", F.col("_metadata.file_path").alias(part), F.col("_metadata.row_index").alias(pos))
+    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias(part))
+    return _add_offsets(source, files, part, pos, offset, row_id, row_no)
+
+
+def _add_offsets(source: DataFrame, counted: DataFrame, part: str, pos: str, offset: int, row_id: str, row_no: str) -> DataFrame:
+    """Number by the place within a part and the rows of the parts before. There is one row to sum over for each written or listed file.
+    Their offsets are written first: Spark then knows their size when it chooses the join."""
+    start = _free(source, ["_start"])[0]
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counted.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    path = shared_dir(source.sparkSession, "offsets")
+    offsets.write.parquet(path)
+    offsets = source.sparkSession.read.schema(offsets.schema).parquet(path)
+    rest = [F.col(f"`{c}`") for c in source.columns if c not in (part, pos)]
+    numbered = source.join(offsets, part).withColumn(row_no, F.col(pos) + F.col(start) + F.lit(offset).cast("bigint"))
     return numbered.select(F.col(row_no).cast("string").alias(row_id), row_no, *rest)
 
 

@@ -8,39 +8,30 @@ from pyspark.sql import functions as F
 from labelmill.errors import LabelError, SpecError
 from labelmill.operators.ids import ROW_ID, ROW_NO, spread_order
 
-# From so many answers to one row on, the merge takes the plan whose both sides AQE can split.
-_HOT_ANSWERS = 100_000
-
-
 def merge_results(rows: DataFrame, answers: DataFrame, on_duplicate: str = "keep", order_answers: Column | None = None,
-                  suffix: str = "_right", hot: bool | None = None) -> DataFrame:
+                  suffix: str = "_right") -> DataFrame:
     """Left join of input rows and answers on ``_row_id``: every input row stays, unanswered ones with null answers.
 
     An answer column whose name the input has too gets ``suffix``. Several answers to one row: ``on_duplicate="keep"`` gives one
     output row each, ``"first"`` only the least by ``order_answers``, ``"error"`` raises.
 
-    A left join cannot split a hot id on the answers' side. ``hot=True`` therefore joins inner and adds the unanswered rows, a plan
-    in which AQE can split either side; ``hot=None`` counts answers per id first (ids only, combined before the shuffle) to decide,
-    and ``hot=False`` says that no id has a great many answers.
+    Where several answers can come to one row, the plan is an inner join and the rows it leaves: a left join cannot split a hot id on
+    the answers' side, these two can be split on either. Otherwise answers are unique and a left join does.
     """
     if on_duplicate not in ("keep", "first", "error"):
         raise SpecError("on_duplicate must be 'keep', 'first' or 'error'")
     if on_duplicate == "first":
         if order_answers is None:
             raise SpecError("on_duplicate='first' needs order_answers")
-        answers, hot = first_answers(answers, order_answers), False
+        answers = first_answers(answers, order_answers)
     elif on_duplicate == "error":
         twice = answers.groupBy(ROW_ID).count().filter("count > 1").limit(5).collect()
         if twice:
             raise LabelError(f"Several answers to the same row, for example to {', '.join(sorted(str(r[0]) for r in twice))}")
-        hot = False
-    elif hot is None:
-        most = answers.groupBy(ROW_ID).count().agg(F.max("count")).first()[0]
-        hot = (most or 0) >= _HOT_ANSWERS
 
     right = _rename_collisions(rows, answers, suffix)
-    left = rows.withColumn(ROW_ID, F.col(ROW_ID).cast("string"))
-    if not hot:
+    left = _text_ids(rows)
+    if on_duplicate != "keep":
         return left.join(right, ROW_ID, "left")
     matched = left.join(right, ROW_ID, "inner")
     return matched.unionByName(left.join(right.select(ROW_ID).distinct(), ROW_ID, "left_anti"), allowMissingColumns=True)
@@ -65,14 +56,18 @@ def first_answers(answers: DataFrame, order: Column) -> DataFrame:
     return ranked.groupBy(ROW_ID).agg(F.min_by("_row", "_rank").alias("_row")).select(ROW_ID, "_row.*")
 
 
+def _text_ids(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(ROW_ID, F.col(ROW_ID).cast("string"))
+
+
 def unanswered_rows(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """Rows without a good answer: the input of the next round."""
-    return rows.join(answers.select(F.col(ROW_ID).cast("string").alias(ROW_ID)).distinct(), ROW_ID, "left_anti")
+    return _text_ids(rows).join(_text_ids(answers).select(ROW_ID).distinct(), ROW_ID, "left_anti")
 
 
 def answered_rows(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """Rows with a good answer."""
-    return rows.join(answers.select(F.col(ROW_ID).cast("string").alias(ROW_ID)).distinct(), ROW_ID, "left_semi")
+    return _text_ids(rows).join(_text_ids(answers).select(ROW_ID).distinct(), ROW_ID, "left_semi")
 
 
 def union_rounds(*rounds: DataFrame) -> DataFrame:

@@ -78,13 +78,14 @@ def build_requests(df: DataFrame, spec: LabelSpec, row_id: str = ROW_ID, null_te
     return rendered.withColumn("request", request_json(F.col("custom_id"), F.col("prompt"), spec))
 
 
-def infer(requests: DataFrame, responder: Responder, batch_rows: int | None = None) -> DataFrame:
+def infer(requests: DataFrame, responder: Responder, batch_rows: int | None = None, partitions: int | None = None) -> DataFrame:
     """Answer requests with a user's function; gives ``custom_id`` and ``value`` (the response line).
 
     ``responder`` gets the parsed requests of one Arrow batch and returns or yields one item for each, in order: the answer as text
     or as a dict, a whole response (a dict with ``result``), or an exception object for a row that failed. If it raises, the rows
     it had not yet answered become error responses: a failing row never fails the task, so answers already paid for are not
-    asked for again. A lost executor can still make a batch be answered twice, so write the result before doing more with it.
+    asked for again; so does an answer that cannot be written as JSON, and all rows of a batch that gets too many answers.
+    ``partitions`` sets how many batches are answered side by side. A lost executor can still make a batch be answered twice, so write the result before doing more with it.
     """
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -93,7 +94,10 @@ def infer(requests: DataFrame, responder: Responder, batch_rows: int | None = No
                 docs = [json.loads(r) for r in part["request"]]
                 yield pd.DataFrame({"custom_id": part["custom_id"].to_list(), "value": _response_lines(part["custom_id"], docs, responder)})
 
-    return requests.select("custom_id", "request").mapInPandas(answer, "custom_id string, value string")
+    asked = requests.select("custom_id", "request")
+    if partitions:
+        asked = asked.repartition(partitions)
+    return asked.mapInPandas(answer, "custom_id string, value string")
 
 
 def _response_lines(ids: Iterable[str], docs: list[dict[str, Any]], responder: Responder) -> list[str]:
@@ -103,9 +107,17 @@ def _response_lines(ids: Iterable[str], docs: list[dict[str, Any]], responder: R
             results.append(item)
     except Exception as e:  # noqa: BLE001 - any failure of the user's function becomes error rows
         results += [e] * (len(docs) - len(results))
-    missing = len(docs) - len(results)
-    results += [RuntimeError("No answer from responder")] * missing
-    return [_response_line(i, r) for i, r in zip(ids, results)]
+    if len(results) > len(docs):  # which answer belongs to which request can no longer be told
+        results = [RuntimeError("More answers than requests from responder")] * len(docs)
+    results += [RuntimeError("No answer from responder")] * (len(docs) - len(results))
+    return [_guarded_line(i, r) for i, r in zip(ids, results, strict=True)]
+
+
+def _guarded_line(request_id: str, result: Any) -> str:
+    try:
+        return _response_line(request_id, result)
+    except (TypeError, ValueError, RecursionError) as e:
+        return _response_line(request_id, RuntimeError(f"Answer is not JSON: {e}"))
 
 
 def _response_line(request_id: str, result: Any) -> str:

@@ -27,6 +27,25 @@ EXTRA = "_extra"
 _HEAD = "struct<custom_id: string, result: struct<type: string, message: struct<content: array<struct<text: string>>>>>"
 
 
+_BOOK = ("custom_id", "error", "content", "raw", "state")
+
+
+def _book_names(taken: list[str]) -> dict[str, str]:
+    """What the bookkeeping columns are called beside columns of the given names."""
+    used, out = {c.lower() for c in taken}, {}
+    for name in _BOOK:
+        own = name
+        while own in used:
+            own = "_" + own
+        out[name] = own
+    return out
+
+
+def book_column(parsed: DataFrame, name: str) -> str:
+    """The bookkeeping column of parsed responses: the one of this name with most underscores in front."""
+    return max((c for c in parsed.columns if c.lstrip("_") == name), key=len)
+
+
 def nonblank_lines(lines: DataFrame) -> DataFrame:
     """Drop lines of white space only."""
     return lines.filter(F.col("value").rlike(r"(?U)\S"))
@@ -39,6 +58,8 @@ def parse_responses(lines: DataFrame, spec: LabelSpec, mode: str = "strict", kee
     ``lines`` has a ``value`` column and may carry further columns, which are kept. ``error`` is null for a good answer; then all
     declared fields are typed. ``mode="strict"`` turns an answer that does not fit the declared fields into an error row.
     ``mode="loose"`` never does: fields are cast as far as possible and undeclared ones kept in the VARIANT column ``_extra``.
+    Where an answer field or a carried column has one of the names ``custom_id``, ``error``, ``content``, ``raw`` or ``state``, the
+    column of that name here gets underscores in front, as few as it takes.
     ``content`` holds the start of an unreadable answer, ``raw`` the whole line of an error row.
 
     The result is narrow (no shuffle) and the same over a stream. Each line and each answer is parsed once: both parses sit in
@@ -46,23 +67,29 @@ def parse_responses(lines: DataFrame, spec: LabelSpec, mode: str = "strict", kee
     """
     if mode not in ("strict", "loose"):
         raise LabelError("mode must be 'strict' or 'loose'")
-    kept = [F.col(f"`{c}`") for c in lines.columns if c not in ("value", "custom_id")]
-    line = F.col("value")
-
-    enveloped = nonblank_lines(lines).select(*kept, line, parse_exact(line).alias("_env"))
+    further = [c for c in lines.columns if c not in ("value", "custom_id")]
+    fields = spec.answer_fields
+    names = _book_names([f.name for f in fields] + further)
+    if clash := {c.lower() for c in further} & {f.name.lower() for f in fields}:
+        raise LabelError(f"Columns carried along have names of answer fields: {', '.join(sorted(clash))}")
+    # What is carried along and what is kept of the line go by names of their own: an answer field may have any name.
+    kept, line = [F.col("_line_kept")], F.col("_line_text")
+    carried = F.struct(*[F.col(f"`{c}`") for c in further]) if further else F.lit(0)
+
+    enveloped = nonblank_lines(lines).select(carried.alias("_line_kept"), F.col("value").alias("_line_text"))
+    enveloped = enveloped.select(*kept, line, parse_exact(line).alias("_env"))
     env = F.col("_env")
     head = F.col("_head")
     headed = enveloped.select(*kept, line, "_env", at(env, "", _HEAD).alias("_head"), is_exact(env, line).alias("_whole"))
     opened = headed.select(
-        *kept, line, F.coalesce(head["custom_id"], F.lit("")).alias("custom_id"), head["result"]["type"].alias("_type"),
+        *kept, line, F.coalesce(head["custom_id"], F.lit("")).alias("_line_id"), head["result"]["type"].alias("_type"),
         F.get(head["result"]["message"]["content"], 0)["text"].alias("_text"), "_whole", "_env",
     )
-    faulted = opened.select(*kept, line, "custom_id", "_type", "_text", _envelope_error(env).alias("_fault"))
+    faulted = opened.select(*kept, line, "_line_id", "_type", "_text", _envelope_error(env).alias("_fault"))
     text, fault = F.col("_text"), F.col("_fault")
     answered = faulted.select("*", F.when(fault.isNull(), parse_exact(text)).alias("_ans"))
 
     ans = F.col("_ans")
-    fields = spec.answer_fields
     if mode == "strict":
         typed = conform_fields(answered, ans, "$[0]", fields, "_misfit")
     else:
@@ -81,11 +108,11 @@ def parse_responses(lines: DataFrame, spec: LabelSpec, mode: str = "strict", kee
     if mode == "loose":
         out.append(F.when(error.isNull(), F.col(EXTRA)).alias(EXTRA))
     result = F.struct(
-        decode_request_id(F.col("custom_id")).alias(ROW_ID), *kept, "custom_id", *out,
-        error.alias("error"),
-        F.when(error == NOT_JSON, F.substring(F.coalesce("_text", F.lit("")), 1, CONTENT_CHARS)).alias("content"),
-        F.when(error.isNotNull(), line).alias("raw"),
-        F.coalesce("_type", F.lit("errored")).alias("state"),
+        decode_request_id(F.col("_line_id")).alias(ROW_ID), *[F.col(f"_line_kept.`{c}`").alias(c) for c in further], F.col("_line_id").alias(names["custom_id"]), *out,
+        error.alias(names["error"]),
+        F.when(error == NOT_JSON, F.substring(F.coalesce("_text", F.lit("")), 1, CONTENT_CHARS)).alias(names["content"]),
+        F.when(error.isNotNull(), line).alias(names["raw"]),
+        F.coalesce("_type", F.lit("errored")).alias(names["state"]),
     )
     # A filter on the result must stay above this line: pushed below the projections, it would repeat the parsing of every row.
     # Filters on what a generator yields are not pushed.
@@ -116,20 +143,22 @@ def _find_fault(line: Column) -> Column:
 
 def answers(parsed: DataFrame, spec: LabelSpec, keep_reasoning: bool = True) -> DataFrame:
     """The good answers: row id, further key columns, typed fields."""
-    drop = {"custom_id", "error", "content", "raw", "state"} | (set() if keep_reasoning else {f.name for f in spec.reasoning_fields})
-    return parsed.filter(F.col("error").isNull()).select(*[F.col(f"`{c}`") for c in parsed.columns if c not in drop])
+    drop = {book_column(parsed, c) for c in _BOOK} | (set() if keep_reasoning else {f.name for f in spec.reasoning_fields})
+    return parsed.filter(F.col(book_column(parsed, "error")).isNull()).select(*[F.col(f"`{c}`") for c in parsed.columns if c not in drop])
 
 
 def error_rows(parsed: DataFrame) -> DataFrame:
     """The failed rows: ``_row_id``, ``custom_id``, ``error``, ``content``, ``raw``."""
-    return parsed.filter(F.col("error").isNotNull()).select(ROW_ID, "custom_id", "error", "content", "raw")
+    own = [F.col(book_column(parsed, c)).alias(c) for c in _BOOK[:4]]
+    return parsed.filter(F.col(book_column(parsed, "error")).isNotNull()).select(ROW_ID, *own)
 
 
 def results_summary(parsed: DataFrame) -> DataFrame:
     """One row: successes, errors, total and their percentages (0 for an empty input)."""
+    error = F.col(book_column(parsed, "error"))
     counted = parsed.agg(
-        F.count_if(F.col("error").isNull()).alias("success_count"),
-        F.count_if(F.col("error").isNotNull()).alias("error_count"),
+        F.count_if(error.isNull()).alias("success_count"),
+        F.count_if(error.isNotNull()).alias("error_count"),
         F.count(F.lit(1)).alias("total"),
     )
 
@@ -141,7 +170,7 @@ def results_summary(parsed: DataFrame) -> DataFrame:
 
 def require_all(parsed: DataFrame) -> None:
     """Raise if any row failed."""
-    failed = parsed.agg(F.count_if(F.col("error").isNotNull())).first()[0]
+    failed = parsed.agg(F.count_if(F.col(book_column(parsed, "error")).isNotNull())).first()[0]
     if failed:
         raise LabelError(f"{failed} row(s) failed. See the error rows for details.")
 

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from labelmill.errors import SpecError
+from labelmill.functions.template import template_columns
 from labelmill.operators import responses as R
 from labelmill.operators.cost import estimate_cost
 from labelmill.operators.ids import ROW_ID, ROW_NO, assign_batches, assign_ids, id_from_column
@@ -41,9 +42,9 @@ class Labeled:
     def summary(self) -> DataFrame:
         return R.results_summary(self.parsed)
 
-    def merged(self, on_duplicate: str = "keep", order_answers: Column | None = None, hot: bool | None = None) -> DataFrame:
+    def merged(self, on_duplicate: str = "keep", order_answers: Column | None = None) -> DataFrame:
         """All input rows with their answers, null where there is none."""
-        return merge_results(self.rows, self.answers, on_duplicate, order_answers, hot=hot)
+        return merge_results(self.rows, self.answers, on_duplicate, order_answers)
 
     def typed(self) -> DataFrame:
         """Only the declared fields, in row order. Raises if any row failed."""
@@ -71,12 +72,10 @@ class Labeler:
 
     def number(self, data: DataFrame | list[dict[str, Any]], order_by: Sequence[str | Column] | None = None, offset: int = 1,
                spark: SparkSession | None = None) -> DataFrame:
-        """Rows with ids. Those of an id column are taken as they are; else rows are numbered and put into batches."""
+        """Rows with ids and batches. Ids come from the id column, where the spec names one, else from the rows' numbers."""
         df = self._input(data, spark)
         if ROW_ID in df.columns:
             return df
-        if self.spec.id_column is not None and order_by is None:
-            return id_from_column(df, self.spec.id_column)
         numbered = assign_ids(df, order_by, offset)
         if self.spec.id_column is not None:
             numbered = id_from_column(numbered.drop(ROW_ID), self.spec.id_column)
@@ -92,11 +91,16 @@ class Labeler:
         return requests
 
     def collect(self, rows: DataFrame, lines: DataFrame | str, mode: str = "strict", keep_reasoning: bool = True,
-                check_bounds: bool = False) -> Labeled:
-        """Parse responses (a table with ``value``, or a folder of JSONL) for numbered rows."""
+                check_bounds: bool = False, store: str | None = None) -> Labeled:
+        """Parse responses (a table with ``value``, or a folder of JSONL) for numbered rows. With ``store``, a new folder, they are
+        parsed once and written there, and all views read that; without it, each view parses what it needs."""
         if isinstance(lines, str):
             lines = read_lines(rows.sparkSession, lines)
-        return Labeled(rows, R.parse_responses(lines, self.spec, mode, check_bounds=check_bounds), self.spec, keep_reasoning)
+        parsed = R.parse_responses(lines, self.spec, mode, check_bounds=check_bounds)
+        if store:
+            parsed.write.parquet(store)
+            parsed = rows.sparkSession.read.schema(parsed.schema).parquet(store)
+        return Labeled(rows, parsed, self.spec, keep_reasoning)
 
     def label(self, data: DataFrame | list[dict[str, Any]], responder: Responder, order_by: Sequence[str | Column] | None = None,
               responses: str | None = None, fail_on_error: bool = False, spark: SparkSession | None = None, **options: Any) -> Labeled:
@@ -108,7 +112,7 @@ class Labeler:
         rows = self.number(data, order_by, spark=spark)
         path = responses or shared_dir(rows.sparkSession, "responses")
         write_lines(infer(self.requests(rows), responder), path)
-        done = self.collect(rows, path, **options)
+        done = self.collect(rows, path, **({"store": shared_dir(rows.sparkSession, "parsed")} | options))
         if fail_on_error:
             R.require_all(done.parsed)
         return done
@@ -119,4 +123,5 @@ class Labeler:
         session = spark or SparkSession.getActiveSession()
         if session is None:
             raise SpecError("A list of rows needs a session")
-        return as_input(session, data)
+        names = template_columns(self.spec.template) or list(self.spec.columns)
+        return as_input(session, data, required=[*names, *([self.spec.id_column] if self.spec.id_column else [])])

@@ -76,7 +76,7 @@ def label_rows(spark: SparkSession, folder: str) -> DataFrame:
     job = Labeler(QUALITY_SPEC)
     rows = job.number(_documents(spark, folder))
     rows = rows.withColumn("prompt_tokens", C.prompt_tokens(rows, QUALITY_SPEC))
-    merged = job.collect(rows, quality_responses(spark, folder)).merged(hot=False)
+    merged = job.collect(rows, quality_responses(spark, folder)).merged()
     return merged.select(F.col("_row_id").alias("row_id"), "lang", "prompt_tokens", "quality", "toxic")
 
 
@@ -98,7 +98,7 @@ def infer_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS row_id, lang, CAST(length({_PROMPT}) AS BIGINT) AS chars FROM documents")
 def label_with_responder(spark: SparkSession, folder: str) -> DataFrame:
     done = Labeler(CHARS_SPEC).label(_documents(spark, folder), count_prompt_chars)
-    return done.merged(hot=False).select(F.col("_row_id").alias("row_id"), "lang", "chars")
+    return done.merged().select(F.col("_row_id").alias("row_id"), "lang", "chars")
 
 
 # --- ids and batches ----------------------------------------------------------------------------------------------------------
@@ -366,7 +366,7 @@ def merge_results(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_MERGED_SQL)
 def merge_hot(spark: SparkSession, folder: str) -> DataFrame:
-    merged = M.merge_results(_document_rows(spark, folder), _quality_answers(spark, folder), hot=True)
+    merged = M.merge_results(_document_rows(spark, folder), _quality_answers(spark, folder))
     return merged.select(F.col("_row_id").alias("row_id"), "source", "quality", "toxic")
 
 
@@ -391,7 +391,7 @@ def merge_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT CAST(conv_id AS VARCHAR) AS row_id, turn, role FROM conversations")
 def merge_duplicates_kept(spark: SparkSession, folder: str) -> DataFrame:
     turns = I.id_from_column(table(spark, folder, "conversations"), "conv_id", keep=False)
-    merged = M.merge_results(turns.select("_row_id").distinct(), turns.select("_row_id", "turn", "role"), hot=True)
+    merged = M.merge_results(turns.select("_row_id").distinct(), turns.select("_row_id", "turn", "role"))
     return merged.select(F.col("_row_id").alias("row_id"), "turn", "role")
 
 
@@ -634,5 +634,5 @@ def stream_merge(spark: SparkSession, folder: str) -> DataFrame:
     source, target, state = (shared_dir(spark, p) for p in ("lines", "answers", "state"))
     S.write_lines(quality_responses(spark, folder).repartition(4), source)
     T.stream_answers(spark, source, target, state, QUALITY_SPEC, files_per_trigger=2).awaitTermination()
-    merged = T.merge_answers(_document_rows(spark, folder), target)
+    merged = T.merge_answers(_document_rows(spark, folder), target, QUALITY_SPEC)
     return merged.select(F.col("_row_id").alias("row_id"), "source", "quality", "toxic")

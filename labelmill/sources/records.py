@@ -15,20 +15,24 @@ from labelmill.functions.jsondoc import at, parse_exact
 ERROR_SCHEMA = "_row_id string, custom_id string, error string, content string, raw string"
 
 
-def as_input(spark: SparkSession, data: Any, columns: Sequence[str] | None = None) -> DataFrame:
-    """A DataFrame as it is, or a list of dicts as one. Only ``columns`` are taken from a list, and each row must have them."""
+def as_input(spark: SparkSession, data: Any, columns: Sequence[str] | None = None, required: Sequence[str] | None = None) -> DataFrame:
+    """A DataFrame as it is, or a list of dicts as one, of all keys or only ``columns``.
+
+    Each row must have the ``required`` ones (by default all that are taken); others that it lacks are null.
+    """
     if isinstance(data, DataFrame):
         return data
     if not isinstance(data, list) or not all(isinstance(r, dict) for r in data):
         raise TypeError(f"Unsupported input type: {type(data)}")
-    names = list(columns) if columns is not None else list(dict.fromkeys(k for r in data for k in r))
+    names = list(columns) if columns is not None else list(dict.fromkeys([*(required or ()), *(k for r in data for k in r)]))
+    needed = names if required is None else list(required)
     for i, r in enumerate(data):
-        for c in names:
+        for c in needed:
             if c not in r:
                 raise SpecError(f"Row {i} has no column '{c}'")
     if not data:
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names))
-    return spark.createDataFrame([tuple(r[c] for c in names) for r in data], names)
+    return spark.createDataFrame([tuple(r.get(c) for c in names) for r in data], names)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str, format: str) -> DataFrame:

@@ -6,6 +6,7 @@ executors.
 
 from __future__ import annotations
 
+import enum
 import json
 import types as pytypes
 import typing
@@ -244,8 +245,8 @@ def _from_spark(name: str, dtype: T.DataType, nullable: bool, meta: Mapping[str,
 def fields_from_class(cls: type) -> tuple[OutputField, ...]:
     """Read output fields from an annotated class: a plain class, a dataclass or a model class with ``model_fields``.
 
-    Types: ``str int float bool``, ``Literal``, ``Optional``, lists and nested annotated classes. A class attribute is the
-    field's default and makes it optional. ``model_fields`` entries also give descriptions.
+    Types: ``str int float bool``, ``Literal``, ``Enum``, ``Optional``, lists and nested annotated classes. A class attribute is the
+    field's default and makes it optional. ``model_fields`` entries also give descriptions and bounds.
     """
     models = getattr(cls, "model_fields", None)
     out = []
@@ -256,6 +257,7 @@ def fields_from_class(cls: type) -> tuple[OutputField, ...]:
         if models is not None:
             info = models[name]
             args["description"] = info.description
+            args |= _class_bounds(name, info)
             if not info.is_required():
                 args |= {"required": False, "default": info.get_default(call_default_factory=True)}
         elif hasattr(cls, name):
@@ -264,6 +266,23 @@ def fields_from_class(cls: type) -> tuple[OutputField, ...]:
     return tuple(out)
 
 
+# Constraint names of model classes and what they are called here.
+_CLASS_BOUNDS = {"ge": "minimum", "gt": "exclusive_minimum", "le": "maximum", "lt": "exclusive_maximum", "multiple_of": "multiple_of"}
+
+
+def _class_bounds(name: str, info: Any) -> dict[str, Any]:
+    """Bounds of a model class's field. What cannot be kept is refused."""
+    if getattr(info, "alias", None) or getattr(info, "validation_alias", None):
+        raise SpecError(f"Field '{name}': aliases are not supported")
+    out: dict[str, Any] = {}
+    for part in getattr(info, "metadata", None) or ():
+        found = {b: getattr(part, a) for a, b in _CLASS_BOUNDS.items() if getattr(part, a, None) is not None}
+        if not found:
+            raise SpecError(f"Field '{name}': {part!r} is not supported")
+        out |= found
+    return out
+
+
 def _from_hint(name: str, hint: Any, args: dict[str, Any]) -> OutputField:
     origin = typing.get_origin(hint)
     if origin in (typing.Union, pytypes.UnionType):
@@ -274,6 +293,13 @@ def _from_hint(name: str, hint: Any, args: dict[str, Any]) -> OutputField:
     if origin is typing.Literal:
         values = typing.get_args(hint)
         return OutputField(name, _literal_type(name, values), enum=values, **args)
+    if isinstance(hint, type) and issubclass(hint, enum.Enum):
+        values = tuple(m.value for m in hint)
+        if isinstance(args.get("default"), enum.Enum):
+            args = args | {"default": args["default"].value}
+        return OutputField(name, _literal_type(name, values), enum=values, **args)
+    if origin is tuple and typing.get_args(hint)[1:] != (...,):
+        raise SpecError(f"Field '{name}': a tuple needs one type, tuple[x, ...]")
     if origin in (list, tuple, Iterable):
         return OutputField(name, "array", items=_from_hint("item", typing.get_args(hint)[0], {}), **args)
     scalar = {str: "string", int: "integer", float: "number", bool: "boolean"}.get(hint)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from labelmill.operators.ids import ROW_ID, id_from_column
 from labelmill.operators.merge import merge_results
 from labelmill.operators.requests import build_requests
-from labelmill.operators.responses import answers, parse_responses
+from labelmill.operators.responses import answers, book_column, parse_responses
 from labelmill.spec import LabelSpec
 
 
@@ -52,20 +54,30 @@ def stream_requests(rows: DataFrame, spec: LabelSpec, target: str, checkpoint: s
 
 def stream_answers(spark: SparkSession, folder: str, target: str, checkpoint: str, spec: LabelSpec, mode: str = "strict",
                    files_per_trigger: int | None = None, available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
-    """Keep a table of good answers up to date for ``merge_answers``.
+    """Keep a table of parsed responses, good and bad, up to date for ``merge_answers`` and ``stream_errors``.
 
-    Each micro-batch replaces its own folder ``round=<n>``: a batch that is run again after a failure overwrites itself.
+    Each stream (named after its checkpoint) has a folder, and each of its micro-batches one in there that it alone replaces: a batch
+    that is run again after a failure overwrites itself, and several streams can feed one table. The expressions are built once.
     """
+    own = hashlib.md5(checkpoint.encode()).hexdigest()
+
     def store(batch: DataFrame, number: int) -> None:
-        answers(parse_responses(batch, spec, mode), spec).write.mode("overwrite").parquet(f"{target}/round={number}")
+        batch.write.mode("overwrite").parquet(f"{target}/stream={own}/round={number}")
 
-    lines = response_stream(spark, folder, files_per_trigger)
-    return _start(lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), available_now, interval)
+    parsed = parse_responses(response_stream(spark, folder, files_per_trigger), spec, mode)
+    return _start(parsed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), available_now, interval)
 
 
-def merge_answers(rows: DataFrame, target: str, on_duplicate: str = "keep") -> DataFrame:
+def merge_answers(rows: DataFrame, target: str, spec: LabelSpec, on_duplicate: str = "keep") -> DataFrame:
     """Input rows with all answers stored so far; ``on_duplicate="first"`` takes the answer of the earliest round."""
-    stored = rows.sparkSession.read.parquet(target)
+    good = answers(rows.sparkSession.read.parquet(target), spec)
     if on_duplicate == "first":
-        return merge_results(rows, stored, "first", order_answers=F.col("round")).drop("round")
-    return merge_results(rows, stored.drop("round"), on_duplicate)
+        return merge_results(rows, good, "first", order_answers=F.struct("round", "stream")).drop("round", "stream")
+    return merge_results(rows, good.drop("round", "stream"), on_duplicate)
+
+
+def stream_errors(spark: SparkSession, target: str) -> DataFrame:
+    """Error rows of all responses stored so far, with their stream and round."""
+    stored = spark.read.parquet(target)
+    failed = stored.filter(F.col(book_column(stored, "error")).isNotNull())
+    return failed.select(ROW_ID, *[F.col(book_column(stored, c)).alias(c) for c in ("custom_id", "error", "content", "raw")], "stream", "round")

@@ -12,6 +12,7 @@ from labelmill.operators import cost as C
 from labelmill.operators import ids as I
 from labelmill.operators import merge as M
 from labelmill.operators import preflight as P
+from labelmill.operators import responses as R
 from labelmill.operators.requests import build_requests, infer
 from labelmill.session import shared_dir
 from labelmill.sources import records as S
@@ -117,8 +118,8 @@ def test_merge(spark):
     rows = spark.createDataFrame([("1", "a", "x"), ("2", "b", "y"), ("3", "c", "z")], "_row_id string, name string, category string")
     answers = spark.createDataFrame([("3", "C"), ("1", "A")], "_row_id string, category string")
     want = [("1", "a", "x", "A"), ("2", "b", "y", None), ("3", "c", "z", "C")]
-    for hot in (None, False, True):
-        merged = M.merge_results(rows, answers, hot=hot)
+    for way in ("keep", "error"):
+        merged = M.merge_results(rows, answers, way)
         assert merged.columns == ["_row_id", "name", "category", "category_right"]
         assert sorted(merged.collect()) == want
     numeric = rows.withColumn("_row_id", F.col("_row_id").cast("bigint"))
@@ -248,3 +249,41 @@ def test_batch_log_and_errors_may_be_missing(spark):
     path = shared_dir(spark, "nothing")
     assert B.batch_list(B.read_batch_log(spark, path)).count() == 0
     assert S.read_errors(spark, path).count() == 0
+
+
+def test_list_rows_may_lack_what_is_not_used(spark):
+    job = Labeler(LabelSpec("s", "{text}", (OutputField("a", "string"),)))
+    assert rows_of(job.number([{"text": "x", "more": 1}, {"text": "y"}], spark=spark).select("text", "more")) == [("x", 1), ("y", None)]
+
+
+def test_batches_with_an_id_column(spark):
+    job = Labeler(LabelSpec("s", "{id}", (OutputField("a", "string"),), id_column="id", batch_size=10))
+    rows = job.number(spark.range(25).selectExpr("cast(id as string) as id", "id as _source", "id as _part"))
+    assert sorted(r["count"] for r in rows.groupBy("batch_no").count().collect()) == [5, 10, 10]
+    assert rows.where("_row_id = id and _source = cast(id as bigint) and _part = _source").count() == 25
+
+
+def test_fields_may_have_any_name(spark):
+    names = ("state", "content", "raw", "error", "custom_id", "value")
+    spec = LabelSpec("s", "{t}", tuple(OutputField(n, "string") for n in names))
+    lines = spark.createDataFrame([(ok("row_1", {n: n for n in names}),), (ok("row_2", {}),)], "value string")
+    parsed = R.parse_responses(lines, spec)
+    assert [tuple(r) for r in R.answers(parsed, spec).collect()] == [("1", *names)]
+    assert [(r._row_id, r.custom_id) for r in R.error_rows(parsed).collect()] == [("2", "row_2")]
+
+
+def test_batch_status_of_a_row_sent_twice(spark):
+    requests = spark.createDataFrame([("row_1", 0), ("row_1", 1)], "custom_id string, batch_no long")
+    lines = spark.createDataFrame([(envelope("row_1", {"type": "expired"}), 0), (ok("row_1", {"a": 1}), 1)], "value string, batch_no long")
+    got = {r.batch_no: (r.succeeded, r.expired) for r in B.batch_status(requests, B.response_states(lines)).collect()}
+    assert got == {0: (0, 1), 1: (1, 0)}
+
+
+def test_responder_edges(spark):
+    requests = spark.createDataFrame([("row_1", "{}"), ("row_2", "{}")], "custom_id string, request string").coalesce(1)
+
+    def errors(responder):
+        return [json.loads(r.value)["result"]["type"] for r in infer(requests, responder, partitions=1).collect()]
+
+    assert errors(lambda docs: [object(), "fine"]) == ["errored", "succeeded"] or errors(lambda docs: [object(), "fine"]) == ["succeeded", "errored"]
+    assert errors(lambda docs: ["a", "b", "c"]) == ["errored", "errored"]

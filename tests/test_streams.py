@@ -26,12 +26,24 @@ def test_merge_grows(spark):
     rows = spark.range(4).select(F.col("id").cast("string").alias("_row_id"))
     put(spark, source, [ok("row_1", GOOD), envelope("row_2", {})])
     T.stream_answers(spark, source, target, state, SENTIMENT).awaitTermination()
-    assert T.merge_answers(rows, target).filter("sentiment IS NOT NULL").count() == 1
+    assert T.merge_answers(rows, target, SENTIMENT).filter("sentiment IS NOT NULL").count() == 1
     put(spark, source, [ok("row_2", GOOD), ok("row_1", GOOD | {"sentiment": "negative"})])
     T.stream_answers(spark, source, target, state, SENTIMENT).awaitTermination()
-    merged = T.merge_answers(rows, target, on_duplicate="first")
+    merged = T.merge_answers(rows, target, SENTIMENT, on_duplicate="first")
     assert sorted((r._row_id, r.sentiment) for r in merged.collect()) == [("0", None), ("1", "positive"), ("2", "positive"), ("3", None)]
-    assert T.merge_answers(rows, target).count() == 5
+    assert T.merge_answers(rows, target, SENTIMENT).count() == 5
+
+
+def test_streams_share_a_table(spark):
+    target = shared_dir(spark, "shared")
+    for i, line in enumerate([ok("row_1", GOOD), envelope("row_2", {})]):
+        source, state = shared_dir(spark, "lines"), shared_dir(spark, "state")
+        put(spark, source, [line])
+        for _ in range(2):
+            T.stream_answers(spark, source, target, state, SENTIMENT).awaitTermination()
+    rows = spark.range(3).select(F.col("id").cast("string").alias("_row_id"))
+    assert T.merge_answers(rows, target, SENTIMENT).filter("sentiment IS NOT NULL").count() == 1
+    assert [(r._row_id, r.error) for r in T.stream_errors(spark, target).collect()] == [("2", "No result in response")]
 
 
 def test_a_stream_needs_ids(spark):
