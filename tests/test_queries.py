@@ -1,8 +1,9 @@
-"""Every registered query against the SQL that states its result."""
+"""Every query of the library against the SQL that states its result; those of the training data operators have their own tests."""
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from labelmill.plans.queries import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def con():
 
 
 def test_all_have_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
@@ -22,6 +23,6 @@ def test_entry(spark):
     assert df.columns == ["row_id", "lang", "prompt_tokens", "quality", "toxic"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, name, FOLDER, queries(), oracle_sql()) > 0
+    assert compare(spark, con, name, FOLDER, QUERIES, ORACLES) > 0
