@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import decontaminate, inner_products, language, line_templates, near_dedup, packing, perplexity, site_style, token_counts, toxicity
+from labelmill.llm import (
+    byte_bpe, decontaminate, fill_middle, inner_products, language, line_templates, merkle, near_dedup, packing, perplexity, site_style, token_counts, toxicity,
+)
 from labelmill.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +19,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+CODING_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 COUNTING_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -150,3 +153,80 @@ def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, folder, "documents"), PACKING_TOKENIZER)
+
+
+_LEAF = "sha256({})".format(" || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in ("doc_id", "source", "lang", "{n}", "text")))
+
+
+@query(f"""
+    WITH RECURSIVE crc(i, k, x) AS (
+        SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM crc WHERE k < 8),
+    crc_table AS (SELECT list(x ORDER BY i) AS t FROM crc WHERE k = 8),
+    hashed AS (
+        SELECT doc_id, lang, {_LEAF.format(n='n_chars')} AS leaf,
+               xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                               lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 7 = 0 AS forged,
+               {_LEAF.format(n='(n_chars + 1)')} AS other
+        FROM documents, crc_table),
+    leaves AS (SELECT *, coalesce('=' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+    tree AS (
+        SELECT g, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM leaves
+        UNION ALL SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, level, pos // 2),
+    subs AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+    joint AS (
+        SELECT 0 AS level, pos, h, n FROM subs
+        UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2 FROM joint WHERE n > 1 GROUP BY level, pos // 2),
+    steps AS (
+        SELECT l.g, l.pos, t.level, CASE WHEN t.pos % 2 = 0 THEN 'R' ELSE 'L' END || coalesce(s.h, '') AS step
+        FROM leaves l JOIN tree t ON t.g = l.g AND t.n > 1 AND t.pos = l.pos // (1 << t.level)
+        LEFT JOIN tree s ON s.g = t.g AND s.level = t.level AND s.pos = xor(t.pos, 1)
+        UNION ALL
+        SELECT l.g, l.pos, 100 + t.level, CASE WHEN t.pos % 2 = 0 THEN 'R' ELSE 'L' END || coalesce(s.h, '')
+        FROM leaves l JOIN subs b ON b.g = l.g JOIN joint t ON t.n > 1 AND t.pos = b.pos // (1 << t.level)
+        LEFT JOIN joint s ON s.level = t.level AND s.pos = xor(t.pos, 1)),
+    proofs AS (SELECT g, pos, list(step ORDER BY level) AS steps FROM steps GROUP BY g, pos),
+    folded AS (
+        SELECT l.*, b.h AS subroot, (SELECT h FROM joint WHERE n = 1) AS root, sha256(coalesce(array_to_string(list_transform(p.steps, lambda s: s[2:]), ''), '')) AS proof_sha256,
+               list_reduce(list_prepend(CASE WHEN forged THEN other ELSE leaf END, coalesce(p.steps, [])),
+                           lambda node, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || node ELSE node || s[2:] END)) AS folded_root
+        FROM leaves l JOIN subs b ON b.g = l.g LEFT JOIN proofs p ON p.g = l.g AND p.pos = l.pos)
+    SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded""")
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    forged = merkle.leaf_hash([F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in fields])
+    chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    # The leaf to fold: null where it is the leaf itself.
+    rows = docs.withColumn("forged", F.when(chosen, forged))
+    proved = merkle.manifest(rows, merkle.leaf_hash([F.col(c) for c in fields]), "lang", "doc_id", ["doc_id", "forged"])
+    segments = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    folded = merkle.fold(F.coalesce("row.forged", "leaf"), F.col("proof"))
+    out = proved.select("row.doc_id", "leaf", "subroot", "root", F.sha2(segments, 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query()
+def op12_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    model = byte_bpe.serialise_model(byte_bpe.read_ranks(CODING_VOCABULARY))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode(docs, model, public_tokenizers.PATTERN, decoded_col="decoded")
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("""
+    WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                           regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units FROM documents),
+    drawn AS (
+        SELECT doc_id, text, units, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS b,
+               CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                    WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM hashed),
+    parts AS (
+        SELECT doc_id, text, CAST(n AS BIGINT) AS n, form, array_to_string(units[:least(a, b)], '') AS p, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS m,
+               array_to_string(units[greatest(a, b) + 1:], '') AS s FROM drawn)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(text) AS restored_sha256 FROM parts""")
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return fill_middle.fill_in_middle(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
