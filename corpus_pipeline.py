@@ -19,39 +19,65 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, with underscores in front as long as the table has such a column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters, and those that no learned language accounts for better than all others together."""
+    """Rejects texts without letters (null and empty ones too), and those that no learned language accounts for better than all others together.
+
+    All columns stay as they are; rows are judged one by one, so repeated rows and ids make no difference; nothing is left of an empty table."""
     ship(spark)
-    found = language.identify(docs, language.learn(docs))
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = _free(docs, "found")
+    judged = docs.withColumn(found, language.language_of(F.col("text"), language.learn(docs), spark))
+    return judged.where((F.col(f"{found}.lang_pred") != language.UNDETERMINED) & (F.col(f"{found}.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops recurring lines; documents that consisted of nothing else go. ``n_chars`` follows the text."""
-    cut = line_templates.drop_recurring(docs)
+    """Drops recurring lines; documents that consisted of nothing else go. ``n_chars``, if there, follows the text; other columns stay as they are.
+
+    Null texts have no lines and stay; rows with equal id and text share their result."""
+    aside = {c: _free(docs, c) for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    cut = line_templates.drop_recurring(docs.withColumnsRenamed(aside))
     changed = F.col("n_dropped") > 0
     cut = cut.where(~changed | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    n_chars = F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+    columns = {c: F.col(aside.get(c, c)).alias(c) for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return cut.select(*columns.values())
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of each component that names it. Rows with an id that several rows have are kept once; those without an id stay."""
+    """Keeps one document of each component: the least id (null after all others), the first row of several.
+
+    Every row is a document of its own, whatever its id: the rows are written with a number first, and numbers are what is linked. Texts without
+    words are linked with nothing and stay."""
     ship(spark)
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    kept = near_dedup.near_duplicates(named).where("kept").select("doc_id")
-    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    key = _free(docs, "key")
+    numbered = stage(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = near_dedup.near_duplicates(numbered, id_col=key).select(F.col("doc_id").alias("row"), "component_id")
+    ids = numbered.select(F.col(key).alias("row"), "doc_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = found.join(ids, "row").groupBy("component_id").agg(F.min_by("row", rank).alias(key))
+    return numbered.join(stage(first.select(key), "kept"), key, "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops contaminated documents. A document is its id and text: a clean one stays, also beside a contaminated one of the same id.
+
+    Null texts have no words and stay."""
     ship(spark)
-    judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.alias("d").join(judged.alias("j"), F.expr("d.doc_id <=> j.doc_id"), "left_anti").select(*docs.columns)
+    judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), text_hash=True).where("contaminated")
+    judged = judged.select("doc_id", "_text_hash").distinct().alias("j")
+    same = F.expr("d.doc_id <=> j.doc_id") & (F.xxhash64(F.col("d.text")) == F.col("j._text_hash"))
+    return docs.alias("d").join(judged, same, "left_anti").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents with their sequences. Null texts are empty ones; every row is packed; an empty table gives none."""
     ship(spark)
     return packing.best_fit_pack(docs, PACKING_TOKENIZER)
 

@@ -122,8 +122,8 @@ def prepare(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> tuple[
     return terms, pairs, build_index(docs, wanted)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFrame:
-    """Per document: words, words inside matched windows, items with matched windows and the digest of their ids, and whether it is contaminated
+def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, text_hash: bool = False) -> DataFrame:
+    """Per document (with ``_text_hash``, the hash of its text, if asked for): words, words inside matched windows, items with matched windows and the digest of their ids, and whether it is contaminated
     (at least one word in twenty is hit)."""
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     terms, pairs, index = prepare(docs, benchmark, width)
@@ -136,5 +136,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH)
     items = items.groupBy(*_DOC).agg(F.collect_list("item_id").alias("ids")).select(*_DOC, F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("ids"), ","), 256).alias("items_sha256"))
     sized = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     found = sized.alias("a").join(hits.alias("b"), _same(_DOC), "left").select("a.*", "b.n_hit")
-    found = found.alias("a").join(items.alias("b"), _same(_DOC), "left").select("a.doc_id", "a.n_words", F.coalesce("a.n_hit", F.lit(0)).alias("n_hit"), F.coalesce("b.n_items", F.lit(0)).alias("n_items"), F.coalesce("b.items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
+    found = found.alias("a").join(items.alias("b"), _same(_DOC), "left").select(*[f"a.{c}" for c in (_DOC if text_hash else _DOC[:1])], "a.n_words", F.coalesce("a.n_hit", F.lit(0)).alias("n_hit"), F.coalesce("b.n_items", F.lit(0)).alias("n_items"), F.coalesce("b.items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))

@@ -1,14 +1,17 @@
 """Operator 4: language of whole texts by prediction with partial matching.
 
-For each language, Spark counts every byte (A-Z lower-cased) after its three bytes before, over all training rows. From these counts come
-the context trees: a context of one to three bytes is kept if it makes up at least 1/4096 of some language's bytes, so a tree's size is
-bounded by that share, not by the corpus. A byte seen in a context costs -log2(n / (total + distinct)); one not seen costs the escape,
--log2(distinct / (total + distinct)), and then what it costs in the next shorter context, down to 1/256. These statistics are frozen into one
-table of costs; a text's code length in a language is the sum over its bytes, and the shortest code wins.
+For each language, Spark counts every byte (A-Z lower-cased) after the ``order`` bytes before, over all training rows. From these counts comes the
+language's context tree, a suffix trie: a context of one to ``order`` bytes is a node if it makes up at least one in ``share`` of the
+language's bytes (``share=None`` keeps all contexts). A byte seen in a node costs -log2(n / (total + distinct)); one not seen costs the escape,
+-log2(distinct / (total + distinct)), and then what it costs in the next shorter context, down to 1/256. These statistics are frozen into a
+table of costs for each language, so the model grows in proportion to the languages; a text's code length in a language is the sum over its
+bytes, and the shortest code wins.
 
 ``score`` is the winner's share of the posterior under equal priors. Training rows are those with a text, a language and an id whose crc32
 leaves no 0 modulo ``folds``.
 
+Texts are coded in slices of ``SLICE`` bytes, whatever their length, and only they are sent to Python workers; other columns stay where they are.
+
 Cases: null texts and texts without a letter are ``und`` with score 0, as is every text if nothing was learned; a null id is never learned
 from and counts as held out; equal costs go to the first language in order; repeated rows count as often as they come; other columns are
 not read.
@@ -20,27 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm.common import LOWER, chunked, fold, stage, text_buffer
 
-ORDER = 3
+ORDER, MOST = 3, 6
 SHARE = 4096
 UNDETERMINED = "und"
-_LETTERS = np.zeros(256, bool)
-_LETTERS[[*range(65, 91), *range(97, 123)]] = True
-
-
-def _histories(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each byte, the three bytes before it in its text as one number; zeros stand before a text."""
-    out = np.zeros(len(data), np.uint32)
-    since = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
-    for back in range(1, ORDER + 1):
-        shifted = np.zeros(len(data), np.uint32)
-        shifted[back:] = data[:-back] if back < len(data) else 0
-        shifted[since < back] = 0
-        out |= shifted << np.uint32(8 * (back - 1))
+SLICE = 1 << 17
+_LETTERS = np.zeros(256, np.uint8)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = 1
+
+
+def _before(data: np.ndarray, at: np.ndarray, back: int) -> np.ndarray:
+    """For each byte, the one ``back`` places before it in its text; zeros stand before a text."""
+    out = np.zeros(len(data), np.uint8)
+    out[back:] = data[:-back] if back < len(data) else 0
+    for k in range(back):
+        out[at[at + k < len(data)] + k] = 0
     return out
 
 
@@ -49,99 +50,132 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def byte_grams(rows: DataFrame) -> DataFrame:
-    """Of ``text, lang``: how often each byte comes after each three bytes, by language."""
+def byte_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """Of ``text, lang``: how often each byte comes after each ``order`` bytes, by language. The nearest byte is the lowest of ``gram >> 8``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in chunked(batches, "text"):
+        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in chunked(batches, "text", 4 * SLICE):
             data, at = text_buffer(batch.column("text"))
             data = LOWER[data]
-            lang = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.uint64)
-            keys = np.repeat(lang, np.diff(at)) << np.uint64(32) | (_histories(data, at) << np.uint32(8) | data).astype(np.uint64)
-            parts.append(np.unique(keys, return_counts=True))
-            if len(parts) > 16:
-                parts = [_merge(parts)]
-        if parts:
-            keys, counts = _merge(parts)
-            order = list(names)
+            gram = data.astype(np.int64)
+            for back in range(1, order + 1):
+                gram |= _before(data, at[:-1], back).astype(np.int64) << 8 * back
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            sizes = np.diff(at)
+            for lang in set(langs.tolist()):
+                found = parts.setdefault(lang, [])
+                found.append(np.unique(gram[np.repeat(langs == lang, sizes)], return_counts=True))
+                if len(found) > 16:
+                    parts[lang] = [_merge(found)]
+        for lang, found in parts.items():
+            keys, counts = _merge(found)
             for i in range(0, len(keys), 50_000):
                 k = keys[i : i + 50_000]
-                langs = pa.array([order[x] for x in (k >> np.uint64(32)).tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([langs, pa.array((k & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(counts[i : i + 50_000])], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(counts[i : i + 50_000])], ["lang", "gram", "n"])
 
     return rows.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, *, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """The frozen model: languages, the tree node of each history, and the cost of each byte in each node by language."""
+def context_tree(k: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """A language's tree from its counts: ``child`` (node by byte before the context, 0 for none) and ``cost`` (bits by next byte), flat."""
+    nodes, place = np.unique(np.stack([k, context], axis=1), axis=0, return_inverse=True)
+    counts = np.zeros((len(nodes), 256))
+    counts[place.reshape(-1), byte] = n
+    total, distinct = counts.sum(axis=1), (counts > 0).sum(axis=1)
+    whole = (total + distinct)[:, None]
+    chance = np.where(counts > 0, counts / whole, distinct[:, None] / whole)
+    child = np.zeros((len(nodes), 256), np.int32)
+    number = {}
+    for i, (order, here) in enumerate(nodes.tolist()):  # shorter contexts come first
+        number[order, here] = i
+        shorter = 1 / 256
+        if order:
+            parent = number[order - 1, here & (1 << 8 * (order - 1)) - 1]
+            child[parent, here >> 8 * (order - 1)] = i
+            shorter = chance[parent]
+        chance[i] *= np.where(counts[i] > 0, 1.0, shorter)
+    child = child.astype(np.uint16) if len(nodes) < 1 << 16 else child
+    return {"child": child.reshape(-1), "cost": -np.log2(np.maximum(chance, 1e-30)).reshape(-1).astype(np.float32)}
+
+
+def learn(docs: DataFrame, *, folds: int = 5, order: int = ORDER, share: int | None = SHARE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
+    """The frozen model: the languages and the context tree of each."""
+    if not 1 <= order <= MOST:
+        raise ValueError(f"order must be between 1 and {MOST}")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != 0))
-    grams = stage(byte_grams(rows), "byte_grams")
-    levels = [F.struct(F.lit(k).alias("k"), F.shiftright("gram", 8).bitwiseAND((1 << 8 * k) - 1).alias("context")) for k in range(ORDER + 1)]
+    grams = stage(byte_grams(rows, order), "byte_grams")
+    levels = [F.struct(F.lit(k).alias("k"), F.shiftright("gram", 8).bitwiseAND((1 << 8 * k) - 1).alias("context")) for k in range(order + 1)]
     seen = grams.select("lang", F.explode(F.array(*levels)).alias("c"), F.col("gram").bitwiseAND(255).alias("byte"), "n")
     seen = stage(seen.groupBy("lang", "c.k", "c.context", "byte").agg(F.sum("n").alias("n")), "contexts")
-    totals = seen.where("k = 0").groupBy("lang").agg(F.sum("n").alias("all"))
-    kept = seen.groupBy("lang", "k", "context").agg(F.sum("n").alias("m")).join(totals, "lang").where(F.col("m") * SHARE >= F.col("all")).select("k", "context").distinct()
-    table = seen.join(kept, ["k", "context"]).toPandas()  # bounded: contexts of at least 1/SHARE of a language, times bytes
-    langs = sorted(table["lang"].unique())
-    nodes = table[["k", "context"]].drop_duplicates().sort_values(["k", "context"]).to_numpy()
-    row = {(int(k), int(c)): i for i, (k, c) in enumerate(nodes)}
-    counts = np.zeros((max(len(nodes), 1), 256, max(len(langs), 1)))
-    place = [row[k, c] for k, c in zip(table["k"].tolist(), table["context"].tolist(), strict=True)]
-    counts[place, table["byte"].to_numpy(np.int64), np.searchsorted(langs, table["lang"])] = table["n"]
-    chance = np.zeros_like(counts)
-    find = np.zeros((256, 256, 256), np.uint16 if len(nodes) < 65536 else np.uint32)
-    for i, (k, c) in enumerate(nodes):
-        shorter = chance[row[int(k) - 1, int(c) & (1 << 8 * (int(k) - 1)) - 1]] if k else np.full(counts.shape[1:], 1 / 256)
-        total, distinct = counts[i].sum(axis=0), (counts[i] > 0).sum(axis=0)
-        whole = np.maximum(total + distinct, 1)
-        escape = np.where(total > 0, distinct / whole, 1.0)
-        chance[i] = np.where(counts[i] > 0, counts[i] / whole, escape * shorter)
-        a, b, d = int(c) >> 16 & 255, int(c) >> 8 & 255, int(c) & 255
-        if k:
-            find[(slice(None), slice(None), d) if k == 1 else (slice(None), b, d) if k == 2 else (a, b, d)] = i
-    cost = -np.log2(np.maximum(chance, 1e-30))
-    return {"langs": [str(x) for x in langs], "find": find.reshape(-1), "cost": cost.reshape(-1, cost.shape[2]).astype(np.float32)}
-
-
-def code_lengths(batch: pa.RecordBatch, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Bits that each text of the batch takes in each language, and whether it has a letter."""
-    data, at = text_buffer(batch.column("text"))
-    lengths, begin = np.diff(at), at[:-1]
-    bits = np.zeros((len(lengths), len(model["langs"])))
-    letters = np.zeros(len(lengths), bool)
-    full = lengths > 0
-    if full.any():
-        low = LOWER[data]
-        rows = model["find"][_histories(low, at)].astype(np.int64) * 256 + low
-        bits[full] = np.add.reduceat(model["cost"][rows].astype(np.float64), begin[full], axis=0)
-        letters[full] = np.add.reduceat(_LETTERS[data].astype(np.int64), begin[full]) > 0
-        for i in np.flatnonzero(full & ~letters):
-            letters[i] = any(map(str.isalpha, batch.column("text")[int(i)].as_py()))
+    if share:
+        totals = seen.where("k = 0").groupBy("lang").agg(F.sum("n").alias("all"))
+        kept = seen.groupBy("lang", "k", "context").agg(F.sum("n").alias("m")).join(totals, "lang").where(F.col("m") * share >= F.col("all")).select("lang", "k", "context")
+        seen = seen.join(kept, ["lang", "k", "context"])
+    table = seen.toPandas()  # bounded: at most order * share contexts for each language, times bytes
+    trees = {lang: context_tree(*(part[c].to_numpy(np.int64) for c in ("k", "context", "byte", "n"))) for lang, part in table.groupby("lang")}
+    langs = sorted(trees)
+    return {"langs": langs, "order": order, "trees": [trees[x] for x in langs]}
+
+
+def code_lengths(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that each text takes in each language, and whether it has a letter."""
+    data, at = text_buffer(texts)
+    bits = np.zeros((len(texts), len(model["langs"])))
+    letters = np.zeros(len(texts), bool)
+    full = np.flatnonzero(np.diff(at) > 0)
+    begins = at[full]
+    if not len(full):
+        return bits, letters
+    letters[full] = np.maximum.reduceat(_LETTERS[data], begins) > 0
+    for i in full[~letters[full]]:
+        letters[i] = any(map(str.isalpha, texts[int(i)].as_py()))
+    order = model["order"]
+    for low in range(0, len(data), SLICE):
+        high, lead = min(low + SLICE, len(data)), min(order, low)
+        part = LOWER[data[low - lead : high]]
+        first, last = np.searchsorted(begins, low, "right") - 1, np.searchsorted(begins, high)
+        starts = begins[(begins >= low - lead) & (begins < high)] - (low - lead)
+        before = [_before(part, starts, back)[lead:].astype(np.int32) for back in range(1, order + 1)]
+        byte = part[lead:].astype(np.int32)
+        cuts = np.maximum(begins[first:last] - low, 0)
+        for k, tree in enumerate(model["trees"]):
+            node, alive = np.zeros(len(byte), np.int32), np.ones(len(byte), bool)
+            for b in before:
+                longer = tree["child"][(node << 8) + b]
+                alive &= longer > 0
+                np.copyto(node, longer, where=alive)
+            bits[full[first:last], k] += np.add.reduceat(tree["cost"][(node << 8) + byte].astype(np.float64), cuts)
     return bits, letters
 
 
-def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFrame:
-    """All columns, with ``lang_pred`` and ``score`` added (columns of these names are replaced)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).alias("text"))
-    schema = f"row {inner.schema['row'].dataType.simpleString()}, lang_pred string, score double"
+def language_of(text: Column, model: dict, spark: SparkSession) -> Column:
+    """A struct of ``lang_pred`` and ``score`` for a text. Each text is judged once: filters on the result do not move below it."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        names = np.array(model["langs"], object)
-        for batch in chunked(batches, "text"):
-            bits, letters = code_lengths(batch, model)
-            if len(names):
-                best = bits.argmin(axis=1)
-                share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-                pred = np.where(letters, names[best], UNDETERMINED)
-                score = np.where(letters, share, 0.0)
-            else:
-                pred, score = np.full(len(letters), UNDETERMINED, object), np.zeros(len(letters))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(pred.tolist(), pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
-
-    return inner.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
+        names = np.array([*model["langs"], UNDETERMINED], object)
+        for texts in batches:
+            pred, score = [np.zeros(0, object)], [np.zeros(0)]
+            for batch in chunked([pa.RecordBatch.from_arrays([texts], ["text"])], "text", 4 * SLICE):
+                bits, letters = code_lengths(batch.column("text"), model)
+                if bits.shape[1]:
+                    gap = bits - bits.min(axis=1, keepdims=True)
+                    pred.append(names[np.where(letters, bits.argmin(axis=1), -1)])
+                    score.append(np.where(letters, 1 / np.exp2(np.maximum(-gap, -1000)).sum(axis=1), 0.0))
+                else:
+                    pred.append(np.full(len(letters), UNDETERMINED, object))
+                    score.append(np.zeros(len(letters)))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(pred).tolist(), pa.string()), pa.array(np.concatenate(score))], ["lang_pred", "score"])
+
+    judge = F.arrow_udf(run, "lang_pred string, score double")
+    return judge.asNondeterministic()(text)
+
+
+def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFrame:
+    """All columns, with ``lang_pred`` and ``score`` added (columns of these names are replaced)."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    judged = docs.select(*kept, language_of(F.col(f"`{text_col}`"), model, docs.sparkSession).alias("_judged"))
+    return judged.select(*kept, "_judged.lang_pred", "_judged.score")

@@ -124,14 +124,40 @@ def test_language(spark):
     assert language.identify(docs, language.learn(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_code_lengths_by_hand():
-    """Costs of a text in a tree without pruning, against the definition."""
-    find = np.zeros(1 << 24, np.uint16)
-    find[ord("a")] = 1  # after "a" alone
-    cost = np.full((2 * 256, 1), 8.0, np.float32)
-    cost[256 + ord("b")] = 1.0
-    bits, letters = language.code_lengths(pa.RecordBatch.from_arrays([pa.array(["AB", "b", None])], ["text"]), {"langs": ["x"], "find": find, "cost": cost})
-    assert bits[:, 0].tolist() == [9.0, 8.0, 0.0] and letters.tolist() == [True, True, False]
+@pytest.mark.parametrize(("order", "share"), [(3, 20), (2, None), (5, None)])
+def test_code_lengths(spark, monkeypatch, order, share):
+    """The tree's counts and costs against their definition, for texts in slices of a few bytes."""
+    rng = random.Random(order)
+    rows = [(i, "".join(rng.choices(["ab", "Ba", "c ", "é", "\0"] if i % 2 else ["ac", "cb", "B", " "], k=rng.randrange(60))), "xy"[i % 2]) for i in range(80)] + [(200, None, "x"), (201, "abc", None), (None, "abcabc", "x")]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), order=order, share=share)
+    assert model["langs"] == ["x", "y"]
+    seen = {}
+    for i, text, lang in rows:
+        if None not in (i, text, lang) and zlib.crc32(str(i).encode()) % 5:
+            raw = bytes(order) + text.translate(LOW).encode()
+            for at in range(order, len(raw)):
+                for k in range(order + 1):
+                    seen.setdefault((lang, raw[at - k : at]), Counter())[raw[at]] += 1
+    whole = {lang: sum(seen[lang, b""].values()) for lang in "xy"}
+
+    def chance(lang, before, byte):
+        counts = seen[lang, before]
+        total = counts.total() + len(counts)
+        shorter = chance(lang, before[1:], byte) if before else 1 / 256
+        return counts[byte] / total if counts[byte] else len(counts) / total * shorter
+
+    def bits(lang, text):
+        raw, out = bytes(order) + text.translate(LOW).encode(), 0.0
+        for at in range(order, len(raw)):
+            k = next(k for k in range(order, -1, -1) if (lang, raw[at - k : at]) in seen and (not share or k == 0 or seen[lang, raw[at - k : at]].total() * share >= whole[lang]))
+            out -= math.log2(chance(lang, raw[at - k : at], raw[at]))
+        return out
+
+    texts = [t for _, t, _ in rows[:30]] + [None, "", "zz", "ABCABC" * 20]
+    monkeypatch.setattr(language, "SLICE", 7)
+    got, letters = language.code_lengths(pa.array(texts), model)
+    assert got == pytest.approx(np.array([[bits(lang, t or "") for lang in "xy"] for t in texts]), rel=1e-5)
+    assert letters.tolist() == [any(map(str.isalpha, t or "")) for t in texts]
 
 
 def test_lines(spark):
@@ -275,3 +301,27 @@ def test_pipeline_on_odd_rows(spark):
         for _, step in corpus_pipeline.STAGES:
             df = step(spark, df, FOLDER)
         assert df.count() >= 0
+
+
+CLASHING = ("score", "lang_pred", "n_lines", "n_dropped", "key", "component_id", "kept", "n_hit", "_text_hash", "contaminated")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").drop("n_chars")
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")))
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        after = step(spark, docs, FOLDER)
+        assert after.columns == docs.columns
+        assert after.where(" or ".join(f"{c} <> concat('{c} of ', doc_id)" for c in CLASHING)).count() == 0 < after.count()
+
+
+def test_stages_on_repeated_ids(spark):
+    """Rows of one id with different texts are different documents; of equal texts one stays, that of the least id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("length(text) > 300").orderBy("item_id").first().text
+    docs = spark.createDataFrame([(7, a), (7, b), (5, a), (5, a), (None, b), (None, c), (8, item), (8, c), (9, None), (9, "")], "doc_id long, text string")
+    near = sorted(map(tuple, corpus_pipeline.minhash_near_dedup(spark, docs, FOLDER).collect()), key=str)
+    assert near == sorted([(5, a), (7, b), (8, item), (8, c), (9, None), (9, "")], key=str)
+    clean = corpus_pipeline.benchmark_decontamination(spark, docs, FOLDER).collect()
+    assert sorted(map(str, clean)) == sorted(str(r) for r in docs.collect() if r.text != item)
