@@ -53,16 +53,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component: the least id (null after all others), the first row of several.
 
-    Every row is a document of its own, whatever its id: the rows are written with a number first, and numbers are what is linked. Texts without
-    words are linked with nothing and stay."""
+    Every row is a document of its own, whatever its id. Rows without an id and rows that share one are written with numbers below all ids first, and go
+    by these. Texts without words are linked with nothing and stay."""
     ship(spark)
     key = _free(docs, "key")
-    numbered = stage(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    found = near_dedup.near_duplicates(numbered, id_col=key).select(F.col("doc_id").alias("row"), "component_id")
-    ids = numbered.select(F.col(key).alias("row"), "doc_id")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    named = F.col("doc_id").isNotNull()
+    repeated = stage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | ~named).select("doc_id"), "repeated_ids")
+    rows = docs.withColumn(key, F.col("doc_id").cast("long"))
+    if not repeated.isEmpty():
+        below = docs.agg(F.least(F.min("doc_id").cast("long"), F.lit(0))).first()[0] or 0
+        odd = docs.alias("d").join(repeated.alias("r"), F.expr("d.doc_id <=> r.doc_id"), "left_semi")
+        odd = stage(odd.withColumn(key, F.lit(below - 1) - F.monotonically_increasing_id()), "numbered")
+        rows = rows.where(named).join(repeated, "doc_id", "left_anti").select(*rows.columns).unionByName(odd)
+    found = near_dedup.near_duplicates(rows, id_col=key).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(key).alias("row"), "doc_id")
+    rank = F.struct(~named, "doc_id", -F.col("row"))
     first = found.join(ids, "row").groupBy("component_id").agg(F.min_by("row", rank).alias(key))
-    return numbered.join(stage(first.select(key), "kept"), key, "left_semi").select(*docs.columns)
+    return rows.join(stage(first.select(key), "kept"), key, "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
