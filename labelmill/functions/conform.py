@@ -32,17 +32,17 @@ NOT_OBJECT = "Answer is not a JSON object"
 _RAW, _PLAIN, _FITS, _SLOW = "_raw", "_plain", "_fits", "_slow"
 
 
-def conform_fields(df: DataFrame, doc: Column, path: str, fields: Sequence[OutputField], misfit: str = "_misfit") -> DataFrame:
+def conform_fields(df: DataFrame, doc: Column, path: str, fields: Sequence[OutputField], misfit: str = "_misfit", lax: bool = False) -> DataFrame:
     """Add a typed column per field of the object at ``path`` of a VARIANT, and ``misfit``: all reasons why the object does not fit.
 
-    A field of a misfitting object may have a value; a missing or null one has its default or null.
+    A field of a misfitting object may have a value; a missing or null one has its default or null. With ``lax``, text fields take any value.
     """
     kept = [F.col(f"`{c}`") for c in df.columns]
     raw, plain, slow = F.col(_RAW), F.col(_PLAIN), F.col(_SLOW)
     opened = df.select(*kept, _members(doc, path, fields).alias(_RAW), _typed_members(doc, path, fields).alias(_PLAIN))
     fits = reduce(lambda a, b: a & b, [_fits(raw[f.name], plain[f.name], f) for f in fields])
     tested = opened.select(*kept, _RAW, _PLAIN, F.coalesce(fits, F.lit(False)).alias(_FITS))
-    judged = tested.select(*kept, _PLAIN, _FITS, F.when(~F.col(_FITS), aside(raw, lambda r: _judge_members(r, fields))).alias(_SLOW))
+    judged = tested.select(*kept, _PLAIN, _FITS, F.when(~F.col(_FITS), aside(raw, lambda r: _judge_members(r, fields, lax))).alias(_SLOW))
     values = [F.when(F.col(_FITS), plain[f.name]).otherwise(slow["value"][f.name]).alias(f.name) for f in fields]
     return judged.select(*kept, *values, slow["reason"].alias(misfit))
 
@@ -91,14 +91,14 @@ def _kind_pattern(field: OutputField) -> str | None:
     return None if any(p is None for _, p in parts) else "OBJECT<" + ", ".join(f"{n}: {p}" for n, p in parts) + ">"
 
 
-def _judge_members(raw: Column, fields: Sequence[OutputField]) -> Column:
+def _judge_members(raw: Column, fields: Sequence[OutputField], lax: bool) -> Column:
     """Struct of ``value`` (a struct of the fields) and ``reason`` for an object given as ``_members``."""
     def assemble(parts: Column) -> Column:
         value = F.struct(*[parts[f.name]["value"].alias(f.name) for f in fields])
         reason = _joined([F.concat(F.lit(f"Field {f.name}: "), parts[f.name]["reason"]) for f in fields])
         return F.struct(value.alias("value"), F.when(raw.isNull(), NOT_OBJECT).otherwise(reason).alias("reason"))
 
-    return aside(F.struct(*[_judge(raw[f.name], f).alias(f.name) for f in fields]), assemble)
+    return aside(F.struct(*[_judge(raw[f.name], f, lax).alias(f.name) for f in fields]), assemble)
 
 
 def _members(doc: Column, path: str, fields: Sequence[OutputField]) -> Column:
@@ -137,12 +137,12 @@ def _base(raw: Column, field: OutputField) -> Column:
     return _get(raw, field.spark_type.simpleString())
 
 
-def _scalar(raw: Column, kind: Column, base: Column, field: OutputField) -> Column:
+def _scalar(raw: Column, kind: Column, base: Column, field: OutputField, lax: bool) -> Column:
     """Typed value of a scalar, null if it has none. Enumerated values are never read from text of another type."""
     from_text = field.enum is None
     is_text = kind == "STRING"
     if field.type == "string":
-        return F.when(is_text, base)
+        return F.when(kind != "VOID", base) if lax else F.when(is_text, base)
     fraction = kind.startswith("D")  # DECIMAL or DOUBLE
     if field.type == "boolean":
         number = _get(raw, "double")
@@ -217,11 +217,11 @@ def _is_nested(field: OutputField) -> bool:
     return field.type in ("object", "array")
 
 
-def _judge(raw: Column, field: OutputField) -> Column:
+def _judge(raw: Column, field: OutputField, lax: bool) -> Column:
     """Struct of ``value`` and ``reason`` for one value."""
     if not _is_nested(field):
         def scalar(kind: Column) -> Column:
-            return aside(_scalar(raw, kind, _base(raw, field), field), lambda value: _judged(
+            return aside(_scalar(raw, kind, _base(raw, field), field, lax), lambda value: _judged(
                 _filled(kind, value, field), _chain(_refusals(kind, value, field)), field))
 
         return aside(F.schema_of_variant(raw), scalar)
@@ -229,23 +229,23 @@ def _judge(raw: Column, field: OutputField) -> Column:
     inner = _judge_object if field.type == "object" else _judge_array
     missing = _judged(_default(field), F.lit("missing") if field.required else F.lit(None), field)
     null = _judged(F.lit(None), F.lit(None) if field.nullable else F.lit("null is not allowed"), field)
-    return aside(F.schema_of_variant(raw), lambda kind: F.when(kind.isNull(), missing).when(kind == "VOID", null).otherwise(inner(raw, kind, field)))
+    return aside(F.schema_of_variant(raw), lambda kind: F.when(kind.isNull(), missing).when(kind == "VOID", null).otherwise(inner(raw, kind, field, lax)))
 
 
 def _judged(value: Column, reason: Column, field: OutputField) -> Column:
     return F.struct(value.cast(field.spark_type).alias("value"), reason.cast("string").alias("reason"))
 
 
-def _judge_object(raw: Column, kind: Column, field: OutputField) -> Column:
-    judged = aside(_members(raw, "$", field.fields), lambda m: _judge_members(m, field.fields))
+def _judge_object(raw: Column, kind: Column, field: OutputField, lax: bool) -> Column:
+    judged = aside(_members(raw, "$", field.fields), lambda m: _judge_members(m, field.fields, lax))
     return F.when(kind.startswith("OBJECT"), aside(judged, lambda j: _judged(j["value"], j["reason"], field))).otherwise(
         _judged(F.lit(None), F.lit("not an object"), field))
 
 
-def _judge_array(raw: Column, kind: Column, field: OutputField) -> Column:
+def _judge_array(raw: Column, kind: Column, field: OutputField, lax: bool) -> Column:
     # Null elements come as SQL null; as a VARIANT null they are judged like null members.
     null = F.parse_json(F.lit("null"))
-    judged = F.transform(_get(raw, "array<variant>"), lambda v: _judge(F.coalesce(v, null), field.items))
+    judged = F.transform(_get(raw, "array<variant>"), lambda v: _judge(F.coalesce(v, null), field.items, lax))
 
     def assemble(items: Column) -> Column:
         reasons = F.transform(items, lambda j, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), j["reason"]))
@@ -258,17 +258,24 @@ def _judge_array(raw: Column, kind: Column, field: OutputField) -> Column:
 
 
 def cast_fields(df: DataFrame, doc: Column, path: str, fields: Sequence[OutputField]) -> DataFrame:
-    """Add a typed column per field without any judgement: a value that does not fit is null; text fields take any value as text."""
+    """Add a typed column per field without any judgement: a value that does not fit is null, wherever it stands in objects and arrays; text
+    fields take any value as text."""
     kept = [F.col(f"`{c}`") for c in df.columns]
-    lax = [OutputField(f.name, f.type, required=False, nullable=True) for f in fields if f.type in ("integer", "number", "boolean")]
-    direct = [f for f in fields if f.type in ("string", "object", "array")]
-    out = conform_fields(df, doc, path, lax, "_unused") if lax else df
+    lax = [_undemanding(f) for f in fields if f.type != "string"]
+    direct = [f for f in fields if f.type == "string"]
+    out = conform_fields(df, doc, path, lax, "_unused", lax=True) if lax else df
     if direct:
         out = out.select("*", _typed_members(doc, path, direct).alias(_PLAIN))
     chosen = [(F.col(_PLAIN)[f.name] if f in direct else F.col(f"`{f.name}`")).alias(f.name) for f in fields]
     return out.select(*kept, *chosen)
 
 
+def _undemanding(field: OutputField) -> OutputField:
+    """The field without demands: any value, none, or null."""
+    return OutputField(field.name, field.type, required=False, nullable=True, fields=tuple(map(_undemanding, field.fields)),
+                       items=None if field.items is None else _undemanding(field.items))
+
+
 def undeclared(doc: Column, path: str, fields: Sequence[OutputField]) -> Column:
     """Members of an object outside ``fields`` as one VARIANT object; null if there are none."""
     rest = F.map_filter(F.try_variant_get(doc, path, "map<string,variant>"), lambda k, _: ~k.isin(*[f.name for f in fields]))

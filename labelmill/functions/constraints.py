@@ -13,16 +13,32 @@ from labelmill.spec import OutputField
 def violations(fields: Iterable[OutputField], columns: dict[str, Column] | None = None, enums: bool = True) -> Column:
     """Texts of all constraints a row breaks, as an array in field order (empty if it breaks none).
 
-    Missing values break nothing. ``columns`` gives the column of each field, by default the one of the same name. Enumerations
-    compare exactly, with case.
+    Values inside of objects and arrays are looked at too; a text begins with the path to the value, such as ``keys[3].price``. Missing
+    values break nothing. ``columns`` gives the column of each field, by default the one of the same name. Enumerations compare exactly, with case.
     """
-    checks = []
-    for f in fields:
-        col = F.col(f"`{f.name}`") if columns is None else columns[f.name]
-        checks += [F.when(broken, F.lit(f"{f.name} {text}")) for broken, text in _rules(f, col, enums)]
+    checks = [_checks(f, F.col(f"`{f.name}`") if columns is None else columns[f.name], F.lit(f.name), enums) for f in fields if _constrained(f, enums)]
     if not checks:
         return F.array().cast("array<string>")
-    return F.filter(F.array(*checks), lambda v: v.isNotNull())
+    return F.array_compact(F.concat(*checks))
+
+
+def _constrained(f: OutputField, enums: bool) -> bool:
+    """Whether there is anything to check in a field."""
+    inner = [*f.fields, *([f.items] if f.items is not None else [])]
+    return f.has_bounds or (enums and f.enum is not None) or any(_constrained(g, enums) for g in inner)
+
+
+def _checks(f: OutputField, col: Column, path: Column, enums: bool) -> Column:
+    """An array with a text, or null, for each constraint on a value and what is in it."""
+    if f.type == "object":
+        inner = [_checks(g, col.getField(g.name), F.concat(path, F.lit("." + g.name)), enums) for g in f.fields if _constrained(g, enums)]
+        return F.concat(*inner)
+    if f.type == "array":
+        def item(value: Column, i: Column) -> Column:
+            return _checks(f.items, value, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), enums)
+
+        return F.flatten(F.coalesce(F.transform(col, item), F.array().cast("array<array<string>>")))
+    return F.array(*[F.when(broken, F.concat(path, F.lit(f" {text}"))) for broken, text in _rules(f, col, enums)])
 
 
 def _rules(f: OutputField, col: Column, enums: bool) -> list[tuple[Column, str]]:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.errors import LabelError, SpecError
+from labelmill.operators.hot import hot_ids, left_join_split, written
 from labelmill.operators.ids import ROW_ID, ROW_NO, spread_order
+from labelmill.session import shared_dir
+
 
 def merge_results(rows: DataFrame, answers: DataFrame, on_duplicate: str = "keep", order_answers: Column | None = None,
                   suffix: str = "_right") -> DataFrame:
@@ -15,8 +18,9 @@ def merge_results(rows: DataFrame, answers: DataFrame, on_duplicate: str = "keep
     An answer column whose name the input has too gets ``suffix``. Several answers to one row: ``on_duplicate="keep"`` gives one
     output row each, ``"first"`` only the least by ``order_answers``, ``"error"`` raises.
 
-    Where several answers can come to one row, the plan is an inner join and the rows it leaves: a left join cannot split a hot id on
-    the answers' side, these two can be split on either. Otherwise answers are unique and a left join does.
+    With ``"keep"``, any number of answers can come to one row, and a left join cannot split such an id on the answers' side. So the answers are written
+    to the shared folder first; a sketch taken on the way names the ids that are too frequent for one task, and these are split over
+    several. Either side is read once.
     """
     if on_duplicate not in ("keep", "first", "error"):
         raise SpecError("on_duplicate must be 'keep', 'first' or 'error'")
@@ -28,13 +32,33 @@ def merge_results(rows: DataFrame, answers: DataFrame, on_duplicate: str = "keep
         twice = answers.groupBy(ROW_ID).count().filter("count > 1").limit(5).collect()
         if twice:
             raise LabelError(f"Several answers to the same row, for example to {', '.join(sorted(str(r[0]) for r in twice))}")
-
-    right = _rename_collisions(rows, answers, suffix)
-    left = _text_ids(rows)
     if on_duplicate != "keep":
-        return left.join(right, ROW_ID, "left")
-    matched = left.join(right, ROW_ID, "inner")
-    return matched.unionByName(left.join(right.select(ROW_ID).distinct(), ROW_ID, "left_anti"), allowMissingColumns=True)
+        return _text_ids(rows).join(_rename_collisions(rows, answers, suffix), ROW_ID, "left")
+    path = shared_dir(rows.sparkSession, "answers")
+    seen = written(answers, path, F.col(ROW_ID))
+    stored = rows.sparkSession.read.schema(answers.schema).parquet(path)
+    return merge_stored(rows, stored, hot_ids(seen, split_parts(rows)), suffix)
+
+
+def split_parts(df: DataFrame) -> int:
+    """Into how many shares a hot id is split at least: one for each shuffle partition."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def merge_stored(rows: DataFrame, stored: DataFrame, hot: dict[str, int], suffix: str = "_right") -> DataFrame:
+    """``merge_results`` that keeps all answers, for answers read from files as they are, with their hot ids known (see ``operators.hot``).
+
+    Rows of a hot id are dealt by their place in their file, which equal answers do not share and no retry changes.
+    """
+    right = _rename_collisions(rows, stored, suffix)
+    if not hot:
+        return left_join_split(_text_ids(rows), right, ROW_ID, hot, F.lit(0))
+    place = "_place"
+    while place in rows.columns or place in right.columns:
+        place = "_" + place
+    numbered = _rename_collisions(rows, stored.select("*", F.col("_metadata.row_index").alias(place)), suffix)
+    right = numbered.select(*[f"`{c}`" for c in right.columns], place)
+    return left_join_split(_text_ids(rows), right, ROW_ID, hot, F.col(place)).drop(place)
 
 
 def _rename_collisions(rows: DataFrame, answers: DataFrame, suffix: str) -> DataFrame:

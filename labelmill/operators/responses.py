@@ -52,12 +52,13 @@ def nonblank_lines(lines: DataFrame) -> DataFrame:
 
 
 def parse_responses(lines: DataFrame, spec: LabelSpec, mode: str = "strict", keep_reasoning: bool = True,
-                    check_bounds: bool = False) -> DataFrame:
+                    check_bounds: bool | None = None) -> DataFrame:
     """One row per response line: ``_row_id``, ``custom_id``, answer fields, ``error``, ``content``, ``raw``, ``state``.
 
     ``lines`` has a ``value`` column and may carry further columns, which are kept. ``error`` is null for a good answer; then all
     declared fields are typed. ``mode="strict"`` turns an answer that does not fit the declared fields into an error row.
-    ``mode="loose"`` never does: fields are cast as far as possible and undeclared ones kept in the VARIANT column ``_extra``.
+    ``mode="loose"`` never does: fields are cast as far as possible and undeclared ones kept in the VARIANT column ``_extra``. Declared bounds,
+    of nested values too, are part of what must fit; ``check_bounds`` says otherwise, by default it is so in strict mode.
     Where an answer field or a carried column has one of the names ``custom_id``, ``error``, ``content``, ``raw`` or ``state``, the
     column of that name here gets underscores in front, as few as it takes.
     ``content`` holds the start of an unreadable answer, ``raw`` the whole line of an error row.
@@ -96,7 +97,7 @@ def parse_responses(lines: DataFrame, spec: LabelSpec, mode: str = "strict", kee
         typed = cast_fields(answered, ans, "$[0]", fields)
         typed = typed.select("*", undeclared(ans, "$[0]", fields).alias(EXTRA), _object_only(ans).alias("_misfit"))
     misfit = F.col("_misfit")
-    if check_bounds:
+    if check_bounds or (check_bounds is None and mode == "strict"):
         # Enumerations are part of strict conformance already.
         broken = F.array_join(violations(fields, enums=mode == "loose"), "; ")
         misfit = F.coalesce(misfit, F.when(broken != "", broken))
@@ -153,24 +154,44 @@ def error_rows(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col(book_column(parsed, "error")).isNotNull()).select(ROW_ID, *own)
 
 
-def results_summary(parsed: DataFrame) -> DataFrame:
-    """One row: successes, errors, total and their percentages (0 for an empty input)."""
-    error = F.col(book_column(parsed, "error"))
-    counted = parsed.agg(
-        F.count_if(error.isNull()).alias("success_count"),
-        F.count_if(error.isNotNull()).alias("error_count"),
-        F.count(F.lit(1)).alias("total"),
+# What kinds of errors there are, for rules on what to ask again.
+ERROR_KINDS = ("malformed", "empty", "canceled", "expired", "service", "unreadable", "misfit")
+
+
+def error_kind(parsed: DataFrame) -> Column:
+    """The kind of each row's error, null for a good answer: a line or response without what it must have (``malformed``, ``empty``), a request
+    that was not worked on (``canceled``, ``expired``) or failed (``service``), an answer that is no JSON (``unreadable``) or not as declared
+    (``misfit``)."""
+    error, state = F.col(book_column(parsed, "error")), F.col(book_column(parsed, "state"))
+    return (
+        F.when(error.isNull(), None).when(error == MALFORMED, "malformed").when(error == NO_RESULT, "empty").when(state.isin("canceled", "expired"), state)
+        .when(state != "succeeded", "service").when(error.isin(NO_MESSAGE, NO_CONTENT), "empty").when(error == NOT_JSON, "unreadable").otherwise("misfit")
     )
 
+
+def results_summary(parsed: DataFrame, counts: tuple[int, int] | None = None) -> DataFrame:
+    """One row: successes, errors, total and their percentages (0 for an empty input). With ``counts``, successes and total, nothing is read."""
+    if counts is not None:
+        good, total = counts
+        counted = parsed.sparkSession.createDataFrame([(good, total - good, total)], "success_count long, error_count long, total long")
+    else:
+        error = F.col(book_column(parsed, "error"))
+        counted = parsed.agg(
+            F.count_if(error.isNull()).alias("success_count"),
+            F.count_if(error.isNotNull()).alias("error_count"),
+            F.count(F.lit(1)).alias("total"),
+        )
+
     def percent(part: str) -> Column:
         return F.when(F.col("total") > 0, F.col(part) / F.col("total") * 100).otherwise(0.0)
 
     return counted.select("*", percent("success_count").alias("success_pct"), percent("error_count").alias("error_pct"))
 
 
-def require_all(parsed: DataFrame) -> None:
-    """Raise if any row failed."""
-    failed = parsed.agg(F.count_if(F.col(book_column(parsed, "error")).isNotNull())).first()[0]
+def require_all(parsed: DataFrame, failed: int | None = None) -> None:
+    """Raise if any row failed; ``failed`` says how many, where that is known."""
+    if failed is None:
+        failed = parsed.agg(F.count_if(F.col(book_column(parsed, "error")).isNotNull())).first()[0]
     if failed:
         raise LabelError(f"{failed} row(s) failed. See the error rows for details.")
 

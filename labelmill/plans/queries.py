@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from labelmill.sources import records as S
 from labelmill.sources.prices import MODEL_PRICES, price_table
 from labelmill.spec import LabelSpec, OutputField
 from labelmill.streaming import ingest as T
+from labelmill.streaming.rounds import ROUND, STREAM, add_round, compact, history
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +103,23 @@ def label_with_responder(spark: SparkSession, folder: str) -> DataFrame:
     return done.merged().select(F.col("_row_id").alias("row_id"), "lang", "chars")
 
 
+def failing_by_id(number: int):
+    """The responder of a round: every fifth document gets an answer that does not fit, others fail in as many rounds as their id says modulo four."""
+    def answer(docs: list[dict]) -> list:
+        ids = [int(d["custom_id"].removeprefix("row_")) for d in docs]
+        return [{"chars": "many"} if i % 5 == 0 else RuntimeError("Overloaded") if i % 4 > number else a for i, a in zip(ids, count_prompt_chars(docs), strict=True)]
+
+    return answer
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS row_id, CASE WHEN doc_id % 5 > 0 AND doc_id % 4 < 3 THEN CAST(length({_PROMPT}) AS BIGINT) END AS chars,
+    CASE WHEN doc_id % 5 = 0 THEN 1 ELSE least(doc_id % 4 + 1, 3) END AS attempts, CASE WHEN doc_id % 5 = 0 THEN 'misfit' WHEN doc_id % 4 = 3 THEN 'service' END AS kind FROM documents""")
+def label_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    done = Labeler(CHARS_SPEC).label_rounds(_documents(spark, folder), failing_by_id, limits={"service": 3, "misfit": 1})
+    tried = done.attempts.groupBy("_row_id").agg(F.count("*").alias("attempts"), F.max_by("kind", "round").alias("kind"))
+    return done.merged().join(tried, "_row_id", "left").select(F.col("_row_id").alias("row_id"), "chars", "attempts", "kind")
+
+
 # --- ids and batches ----------------------------------------------------------------------------------------------------------
 
 
@@ -321,6 +340,44 @@ def conform_nested(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select(F.col("_row_id").cast("bigint").alias("o_orderkey"), F.col("order.status").alias("status"), F.col("order.price").alias("price"), total.alias("key_sum"), "error")
 
 
+BOUNDED_SPEC = LabelSpec("You read orders.", "{o_orderkey}", (
+    OutputField("status", "string"),
+    OutputField("lines", "array", items=OutputField("line", "object", fields=(
+        OutputField("price", "number", minimum=1000, exclusive_maximum=400_000), OutputField("keys", "array", items=OutputField("key", "integer", multiple_of=2))))),
+))
+
+
+def _order_lines(spark: SparkSession, folder: str, price) -> DataFrame:
+    """A response for each order: two lines, with a price and two keys each."""
+    key = F.col("o_orderkey")
+    line = F.struct(price.alias("price"), F.array(key * 2, key).alias("keys"))
+    answer = F.struct(F.col("o_orderstatus").alias("status"), F.array(F.struct(F.lit(1000.0).alias("price"), F.array(key * 4).alias("keys")), line).alias("lines"))
+    return table(spark, folder, "orders").select(response_line(encode_request_id(key), F.to_json(answer)).alias("value"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN error = '' THEN o_totalprice END AS price, nullif(error, '') AS error FROM (
+    SELECT *, array_to_string(list_filter([CASE WHEN o_totalprice < 1000 THEN 'lines[1].price is below 1000' END, CASE WHEN o_totalprice >= 400000 THEN 'lines[1].price is not below 400000' END,
+        CASE WHEN o_orderkey % 2 = 1 THEN 'lines[1].keys[1] is not a multiple of 2' END], lambda x: x IS NOT NULL), '; ') AS error FROM orders)""")
+def conform_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = R.parse_responses(_order_lines(spark, folder, F.col("o_totalprice")), BOUNDED_SPEC)
+    return parsed.select(F.col("_row_id").cast("bigint").alias("o_orderkey"), F.col("lines")[1]["price"].alias("price"), "error")
+
+
+@query("""SELECT o_orderkey, o_orderstatus AS status, o_custkey AS customer, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS whole,
+    CASE WHEN o_orderkey % 3 <> 2 THEN o_custkey END AS from_text FROM orders""")
+def loose_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Inside of objects and arrays, too, what is no integer is null, and numbers may come as text."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    whole = F.concat(key.cast("string"), F.when(key % 3 == 0, ".0").otherwise(".5"))
+    text = F.when(key % 3 == 0, customer.cast("string")).when(key % 3 == 1, F.concat(F.lit('"'), customer.cast("string"), F.lit('"'))).otherwise('"none"')
+    answer = F.concat(F.lit('{"order": {"status": "'), F.col("o_orderstatus"), F.lit('", "note": '), customer.cast("string"), F.lit('}, "keys": ['), whole, F.lit(", "), text, F.lit("]}"))
+    spec = LabelSpec("You read orders.", "{o_orderkey}", (
+        OutputField("order", "object", fields=(OutputField("status", "string"), OutputField("note", "string"))), OutputField("keys", "array", items=OutputField("item", "integer"))))
+    parsed = R.parse_responses(table(spark, folder, "orders").select(response_line(encode_request_id(key), answer).alias("value")), spec, mode="loose")
+    return parsed.select(F.col("_row_id").cast("bigint").alias("o_orderkey"), "order.status", F.col("order.note").cast("bigint").alias("customer"),
+                         F.col("keys")[0].alias("whole"), F.col("keys")[1].alias("from_text"))
+
+
 _RULES = (
     OutputField("event_type", "string", enum=("click", "view", "purchase")),
     OutputField("value", "number", minimum=1, exclusive_maximum=50),
@@ -364,10 +421,18 @@ def merge_results(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select(F.col("_row_id").alias("row_id"), "source", "quality", "toxic")
 
 
-@query(_MERGED_SQL)
+_HOT_SQL = """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 WHEN event_id % 5 > 0 THEN 10 + event_id % 3000 END AS id, event_type FROM events"""
+
+
+@query(f"""SELECT CAST(r.id AS VARCHAR) AS row_id, r.place, a.event_id, a.event_type
+    FROM (SELECT DISTINCT o_orderkey % 4000 AS id, o_orderkey % 2 AS place FROM orders) r LEFT JOIN ({_HOT_SQL}) a ON a.id = r.id""")
 def merge_hot(spark: SparkSession, folder: str) -> DataFrame:
-    merged = M.merge_results(_document_rows(spark, folder), _quality_answers(spark, folder))
-    return merged.select(F.col("_row_id").alias("row_id"), "source", "quality", "toxic")
+    """One id has half of all answers, a tenth have none, the others a few each; some rows share an id."""
+    number = F.col("event_id")
+    row_id = F.when(number % 2 == 0, 1).when(number % 5 > 0, 10 + number % 3000)
+    answers = table(spark, folder, "events").select(row_id.cast("string").alias("_row_id"), "event_id", "event_type")
+    rows = table(spark, folder, "orders").select((F.col("o_orderkey") % 4000).alias("_row_id"), (F.col("o_orderkey") % 2).alias("place")).distinct()
+    return M.merge_results(rows, answers).withColumnRenamed("_row_id", "row_id")
 
 
 @query("""SELECT CAST(d.doc_id AS VARCHAR) AS row_id, d.lang, d.n_chars, CASE WHEN d.doc_id % 16 < 8 THEN d.lang END AS lang_right,
@@ -524,7 +589,7 @@ def _batched_requests(spark: SparkSession, folder: str) -> DataFrame:
 def batch_status(spark: SparkSession, folder: str) -> DataFrame:
     # In every second batch, the documents with ids divisible by five have no response yet.
     waiting = (F.col("doc_id") % 5 == 0) & (F.floor(F.col("doc_id") / 250) % 2 == 1)
-    responses = R.parse_responses(document_responses(_documents(spark, folder).filter(~waiting)), DOCUMENT_SPEC)
+    responses = B.response_states(document_responses(_documents(spark, folder).filter(~waiting)))
     status = B.batch_status(_batched_requests(spark, folder), responses)
     return status.withColumn("progress", F.round("progress", 6))
 
@@ -560,12 +625,15 @@ _LIST_SQL = """SELECT left('batch_of_one_hundred_orders_' || lpad(CAST(b AS VARC
 def batch_list(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_dir(spark, "batch-log")
     B.append_batch_log(_batch_log(spark, folder), path)
-    return B.batch_list(B.read_batch_log(spark, path))
+    return B.batch_list(B.read_batch_log(spark, path), limit=B.LISTED_BATCHES)
 
 
 @query(_LIST_SQL)
 def batch_list_all(spark: SparkSession, folder: str) -> DataFrame:
-    return B.batch_list(_batch_log(spark, folder), limit=None)
+    path = shared_dir(spark, "batch-log")
+    for step in ("in_progress", "ended", "canceled"):  # the log grows by one change after the other
+        B.append_batch_log(_batch_log(spark, folder).where(F.col("status") == step), path)
+    return B.batch_list(B.read_batch_log(spark, path))
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'ended' WHEN 'O' THEN 'in_progress' ELSE 'pending' END AS state,
@@ -636,3 +704,35 @@ def stream_merge(spark: SparkSession, folder: str) -> DataFrame:
     T.stream_answers(spark, source, target, state, QUALITY_SPEC, files_per_trigger=2).awaitTermination()
     merged = T.merge_answers(_document_rows(spark, folder), target, QUALITY_SPEC)
     return merged.select(F.col("_row_id").alias("row_id"), "source", "quality", "toxic")
+
+
+ROUND_SPEC = LabelSpec("You read orders.", "{o_orderkey}", (OutputField("round", "integer"), OutputField("stream", "string")), id_column="o_orderkey")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS row_id, CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 3 = 1 THEN 1 WHEN o_orderkey % 4 = 0 THEN 3 END AS round,
+    CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 OR o_orderkey % 4 = 0 THEN o_orderstatus END AS stream FROM orders""")
+def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Two streams, one of them run again from nothing, feed a table that is compacted between rounds: a third of the rows is answered twice (the later
+    counts), a third once and then failed (the answer counts), a third failed, some of those answered after the compaction."""
+    orders, key = table(spark, folder, "orders"), F.col("o_orderkey")
+    target, sources, states = shared_dir(spark, "answers"), [shared_dir(spark, "lines") for _ in range(2)], [shared_dir(spark, "state") for _ in range(2)]
+
+    def land(source: str, where, number: int | None) -> None:
+        text = F.to_json(F.struct(F.lit(number).alias("round"), F.col("o_orderstatus").alias("stream"))) if number else F.lit("none")
+        S.write_lines(orders.where(where).select(response_line(encode_request_id(key), text).alias("value")), f"{source}/{number}-{shared_dir(spark, 'part').rsplit('-', 1)[1]}")
+
+    def run(i: int, state: str) -> None:
+        T.stream_answers(spark, f"{sources[i]}/*", target, state, ROUND_SPEC).awaitTermination()
+
+    land(sources[0], key % 3 != 2, 1)
+    land(sources[0], key % 3 == 2, None)
+    run(0, states[0])
+    land(sources[1], key % 3 == 0, 2)
+    land(sources[1], key % 3 == 1, None)
+    run(1, states[1])
+    compact(spark, target)
+    land(sources[1], (key % 3 == 2) & (key % 4 == 0), 3)
+    run(1, states[1])
+    add_round(history(spark, target).drop(ROUND, STREAM), target, md5(states[0].encode()).hexdigest(), 0)  # the first round once more, with other rows
+    merged = T.merge_answers(I.id_from_column(orders.select("o_orderkey"), "o_orderkey"), target, ROUND_SPEC, "latest")
+    return merged.select(F.col("_row_id").alias("row_id"), "round", "stream")

@@ -34,6 +34,9 @@ MAX_TOKENS = 4096
 
 REASONING_SUFFIX = "_reasoning"
 
+#: Columns of the results that no answer field can stand for.
+RESERVED = ("_row_id", "_is_good", "_round", "_round_no", "_stream")
+
 _BOUNDS = ("minimum", "maximum", "exclusive_minimum", "exclusive_maximum", "multiple_of")
 
 
@@ -147,6 +150,8 @@ class LabelSpec:
         if self.reasoning_order not in ("interleaved", "appended"):
             raise SpecError("reasoning_order must be 'interleaved' or 'appended'")
         names = [f.name.lower() for f in self.answer_fields]
+        if taken := sorted({n for n in names if n in RESERVED}):
+            raise SpecError(f"Reserved names of output fields: {', '.join(taken)}")
         twice = sorted({n for n in names if names.count(n) > 1})
         if twice:
             raise SpecError(f"Duplicate output fields: {', '.join(twice)}")

@@ -13,6 +13,7 @@ from labelmill.operators.merge import merge_results
 from labelmill.operators.requests import build_requests
 from labelmill.operators.responses import answers, book_column, parse_responses
 from labelmill.spec import LabelSpec
+from labelmill.streaming.rounds import ROUND, STREAM, add_round, current, history
 
 
 def _start(writer, available_now: bool, interval: str) -> StreamingQuery:
@@ -56,28 +57,28 @@ def stream_answers(spark: SparkSession, folder: str, target: str, checkpoint: st
                    files_per_trigger: int | None = None, available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
     """Keep a table of parsed responses, good and bad, up to date for ``merge_answers`` and ``stream_errors``.
 
-    Each stream (named after its checkpoint) has a folder, and each of its micro-batches one in there that it alone replaces: a batch
-    that is run again after a failure overwrites itself, and several streams can feed one table. The expressions are built once.
+    Each micro-batch is a round of its stream (named after its checkpoint) in the table's log, see ``streaming.rounds``: a batch that is run again
+    after a failure finds itself done, several streams can feed one table, and readers see whole rounds only. The expressions are built once.
     """
     own = hashlib.md5(checkpoint.encode()).hexdigest()
-
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/stream={own}/round={number}")
-
     parsed = parse_responses(response_stream(spark, folder, files_per_trigger), spec, mode)
-    return _start(parsed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), available_now, interval)
+    return _start(parsed.writeStream.foreachBatch(lambda batch, number: add_round(batch, target, own, number) and None).option("checkpointLocation", checkpoint), available_now, interval)
 
 
 def merge_answers(rows: DataFrame, target: str, spec: LabelSpec, on_duplicate: str = "keep") -> DataFrame:
-    """Input rows with all answers stored so far; ``on_duplicate="first"`` takes the answer of the earliest round."""
-    good = answers(rows.sparkSession.read.parquet(target), spec)
+    """Input rows with the answers stored so far. Of several to one row, ``on_duplicate="keep"`` gives all, ``"first"`` that of the earliest
+    round, ``"latest"`` that of the latest; after ``compact``, only the latest is left."""
+    stored = history(rows.sparkSession, target)
+    if on_duplicate == "latest":
+        return merge_results(rows, answers(current(stored), spec).drop(ROUND, STREAM), "error")
+    good = answers(stored, spec)
     if on_duplicate == "first":
-        return merge_results(rows, good, "first", order_answers=F.struct("round", "stream")).drop("round", "stream")
-    return merge_results(rows, good.drop("round", "stream"), on_duplicate)
+        return merge_results(rows, good, "first", order_answers=F.struct(ROUND, STREAM)).drop(ROUND, STREAM)
+    return merge_results(rows, good.drop(ROUND, STREAM), on_duplicate)
 
 
 def stream_errors(spark: SparkSession, target: str) -> DataFrame:
-    """Error rows of all responses stored so far, with their stream and round."""
-    stored = spark.read.parquet(target)
+    """Error rows of all responses stored so far, with their round (a time in nanoseconds) and stream."""
+    stored = history(spark, target)
     failed = stored.filter(F.col(book_column(stored, "error")).isNotNull())
-    return failed.select(ROW_ID, *[F.col(book_column(stored, c)).alias(c) for c in ("custom_id", "error", "content", "raw")], "stream", "round")
+    return failed.select(ROW_ID, *[F.col(book_column(stored, c)).alias(c) for c in ("custom_id", "error", "content", "raw")], STREAM, ROUND)

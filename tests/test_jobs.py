@@ -16,7 +16,7 @@ from labelmill.operators import responses as R
 from labelmill.operators.requests import build_requests, infer
 from labelmill.session import shared_dir
 from labelmill.sources import records as S
-from tests.test_responses import GOOD, SENTIMENT, envelope, ok
+from tests.test_responses import GOOD, PARCELS, envelope, ok
 
 
 def rows_of(df):
@@ -68,7 +68,7 @@ def test_id_column(spark):
 
 def test_requests_have_the_wire_form(spark):
     df = spark.createDataFrame([("7", 'say "hi"\n\\ é', 1, "secret")], "_row_id string, text string, n int, other string")
-    spec = LabelSpec('Be "kind".', "T: {text} {{n={n}}}", SENTIMENT.fields, reasoning=True)
+    spec = LabelSpec('Be "kind".', "T: {text} {{n={n}}}", PARCELS.fields, reasoning=True)
     row = build_requests(df, spec).first()
     assert json.loads(row.request) == {
         "custom_id": "row_7",
@@ -88,7 +88,7 @@ def test_requests_have_the_wire_form(spark):
 
 def test_unused_columns_stay_in_the_scan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    spec = LabelSpec("s", "{lang}", SENTIMENT.fields)
+    spec = LabelSpec("s", "{lang}", PARCELS.fields)
     plan = build_requests(I.id_from_column(docs, "doc_id"), spec)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan and "Exchange" not in plan and "Python" not in plan
 
@@ -96,9 +96,9 @@ def test_unused_columns_stay_in_the_scan(spark):
 def test_missing_template_column(spark):
     df = spark.createDataFrame([("1", "a")], "_row_id string, text string")
     with pytest.raises(SpecError, match="Missing columns: title"):
-        build_requests(df, LabelSpec("s", "{title}", SENTIMENT.fields))
+        build_requests(df, LabelSpec("s", "{title}", PARCELS.fields))
     with pytest.raises(SpecError, match="undefined variable: 'text'"):
-        build_requests(df, LabelSpec("s", "{text}", SENTIMENT.fields, columns=("_row_id",)))
+        build_requests(df, LabelSpec("s", "{text}", PARCELS.fields, columns=("_row_id",)))
 
 
 def test_cells(spark):
@@ -141,7 +141,7 @@ def test_merge_duplicates(spark):
 
 def test_preflight(spark):
     df = spark.createDataFrame([("U001", "a"), ("U001", "b"), ("U002", None)], "user_id string, text string")
-    spec = LabelSpec("s", "{text}", SENTIMENT.fields, id_column="user_id")
+    spec = LabelSpec("s", "{text}", PARCELS.fields, id_column="user_id")
     report = P.preflight_report(df, spec).collect()
     assert [r.status for r in report] == ["ok", "ok", "ok", "error"]
     assert report[-1].detail == "ID column 'user_id' contains duplicate values. Found 2 unique values in 3 rows."
@@ -164,7 +164,7 @@ def test_samples(spark):
 
 def test_cost(spark):
     df = spark.createDataFrame([(1, "abcd" * 10), (2, "abcd" * 30)], "id int, text string")
-    spec = LabelSpec("system text", "{text}", SENTIMENT.fields)
+    spec = LabelSpec("system text", "{text}", PARCELS.fields)
     exact, first = (C.estimate_cost(df, spec, m, order_by=["id"]).first() for m in ("exact", "first_row"))
     assert (exact.avg_input_tokens, first.avg_input_tokens, exact.total_requests) == (20.0, 10.0, 2)
     assert exact.input_cost == pytest.approx(40 * 1.5 / 1e6) and first.input_cost == pytest.approx(20 * 1.5 / 1e6)
@@ -207,16 +207,16 @@ def test_whole_job(spark):
 
     def responder(docs):
         calls.add(len(docs))
-        return [{"sentiment": "positive", "confidence": 0.5} for _ in docs]
+        return [{"bulk": "small", "weight": 0.5} for _ in docs]
 
     data = [{"text": "A"}, {"text": "B"}, {"text": "C"}]
-    done = Labeler(SENTIMENT).label(data, responder, order_by=["text"], fail_on_error=True, spark=spark)
-    assert sorted(done.merged().select("_row_id", "text", "sentiment").collect()) == [("1", "A", "positive"), ("2", "B", "positive"), ("3", "C", "positive")]
-    assert done.typed().columns == ["sentiment", "confidence"] and done.typed().count() == 3
+    done = Labeler(PARCELS).label(data, responder, order_by=["text"], fail_on_error=True, spark=spark)
+    assert sorted(done.merged().select("_row_id", "text", "bulk").collect()) == [("1", "A", "small"), ("2", "B", "small"), ("3", "C", "small")]
+    assert done.typed().columns == ["bulk", "weight"] and done.typed().count() == 3
     assert done.summary.first().success_count == 3 and done.unanswered().count() == 0
     assert calls.value == 3
     with pytest.raises(LabelError, match=r"3 row\(s\) failed"):
-        Labeler(SENTIMENT).label(data, lambda docs: [RuntimeError("no")] * len(docs), fail_on_error=True, spark=spark)
+        Labeler(PARCELS).label(data, lambda docs: [RuntimeError("no")] * len(docs), fail_on_error=True, spark=spark)
 
 
 def test_list_input(spark):
@@ -229,16 +229,16 @@ def test_list_input(spark):
 
 def test_typed_results_come_in_row_order(spark):
     rows = spark.createDataFrame([(str(i),) for i in range(12)], "_row_id string")
-    lines = spark.createDataFrame([(ok(f"row_{i}", {"sentiment": "neutral", "confidence": i}),) for i in (11, 2, 0, 10, 1)], "value string")
-    assert [r.confidence for r in Labeler(SENTIMENT).collect(rows, lines).typed().collect()] == [0, 1, 2, 10, 11]
+    lines = spark.createDataFrame([(ok(f"row_{i}", {"bulk": "medium", "weight": i}),) for i in (11, 2, 0, 10, 1)], "value string")
+    assert [r.weight for r in Labeler(PARCELS).collect(rows, lines).typed().collect()] == [0, 1, 2, 10, 11]
     with pytest.raises(LabelError, match=r"1 row\(s\) failed"):
-        Labeler(SENTIMENT).collect(rows, lines.union(lines.selectExpr("'x'").limit(1))).typed()
+        Labeler(PARCELS).collect(rows, lines.union(lines.selectExpr("'x'").limit(1))).typed()
 
 
 def test_batch_status(spark):
     requests = spark.range(10).select(F.concat(F.lit("row_"), "id").alias("custom_id"), F.floor(F.col("id") / 4).alias("batch_no"))
     answers = [ok(f"row_{i}", GOOD) for i in range(4)] + [envelope("row_0", {"type": "errored"}), envelope("row_4", {"type": "errored"}), envelope("row_5", {"type": "canceled"}), envelope("row_8", {"type": "expired"})]
-    parsed = Labeler(SENTIMENT).collect(requests, spark.createDataFrame([(a,) for a in answers], "value string")).parsed
+    parsed = Labeler(PARCELS).collect(requests, spark.createDataFrame([(a,) for a in answers], "value string")).parsed
     got = {r.batch_no: tuple(r)[1:] for r in B.batch_status(requests, parsed).collect()}
     assert got[0] == ("ended", 4, 0, 4, 0, 0, 0, True, 1.0)
     assert got[1] == ("in_progress", 4, 2, 0, 1, 1, 0, False, 0.25)

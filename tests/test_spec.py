@@ -18,7 +18,7 @@ def test_json_schema():
     doc = spec(
         OutputField("category", "string", "The category", enum=("a", "b")),
         OutputField("score", "integer", "From 1 to 5", minimum=1, maximum=5),
-        OutputField("confidence", "number", "0 to 1"),
+        OutputField("weight", "number", "0 to 1"),
         OutputField("valid", "boolean", "Valid"),
     ).json_schema()
     assert doc == {
@@ -26,10 +26,10 @@ def test_json_schema():
         "properties": {
             "category": {"type": "string", "description": "The category", "enum": ["a", "b"]},
             "score": {"type": "integer", "description": "From 1 to 5"},
-            "confidence": {"type": "number", "description": "0 to 1"},
+            "weight": {"type": "number", "description": "0 to 1"},
             "valid": {"type": "boolean", "description": "Valid"},
         },
-        "required": ["category", "score", "confidence", "valid"],
+        "required": ["category", "score", "weight", "valid"],
         "additionalProperties": False,
     }
 
@@ -111,9 +111,9 @@ def test_from_class():
 
 
 def test_templates():
-    assert template_columns("Hello {name}, you are {age}") == ["name", "age"]
-    assert template_columns("{name} is {name}") == ["name"]
-    assert template_columns("Hello {{world}}") == []
+    assert template_columns("From {sender} to {city}") == ["sender", "city"]
+    assert template_columns("{unit}/{unit}") == ["unit"]
+    assert template_columns("Set {{braces}}") == []
     assert check_template("{a} {b}", ["a"]) == (False, "Template references undefined variable: 'b'")
     assert check_template("{a}", ["a"]) == (True, "")
     for bad in ("{", "{a!r}", "{a:>5}", "{a.b}", "{a[0]}", "{}"):

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from labelmill.session import shared_dir
 from labelmill.streaming import ingest as T
-from tests.test_responses import GOOD, SENTIMENT, envelope, ok
+from tests.test_responses import GOOD, PARCELS, envelope, ok
 
 
 def put(spark, folder, lines):
@@ -13,10 +13,10 @@ def put(spark, folder, lines):
 def test_files_are_parsed_once(spark):
     source, target, state = (shared_dir(spark, p) for p in "abc")
     put(spark, source, [ok("row_1", GOOD), envelope("row_2", {})])
-    T.stream_parse(spark, source, target, state, SENTIMENT).awaitTermination()
+    T.stream_parse(spark, source, target, state, PARCELS).awaitTermination()
     put(spark, source, [ok("row_3", GOOD)])
     for _ in range(2):
-        T.stream_parse(spark, source, target, state, SENTIMENT).awaitTermination()
+        T.stream_parse(spark, source, target, state, PARCELS).awaitTermination()
     got = spark.read.parquet(target)
     assert sorted((r._row_id, r.error) for r in got.collect()) == [("1", None), ("2", "No result in response"), ("3", None)]
 
@@ -25,13 +25,13 @@ def test_merge_grows(spark):
     source, target, state = (shared_dir(spark, p) for p in "abc")
     rows = spark.range(4).select(F.col("id").cast("string").alias("_row_id"))
     put(spark, source, [ok("row_1", GOOD), envelope("row_2", {})])
-    T.stream_answers(spark, source, target, state, SENTIMENT).awaitTermination()
-    assert T.merge_answers(rows, target, SENTIMENT).filter("sentiment IS NOT NULL").count() == 1
-    put(spark, source, [ok("row_2", GOOD), ok("row_1", GOOD | {"sentiment": "negative"})])
-    T.stream_answers(spark, source, target, state, SENTIMENT).awaitTermination()
-    merged = T.merge_answers(rows, target, SENTIMENT, on_duplicate="first")
-    assert sorted((r._row_id, r.sentiment) for r in merged.collect()) == [("0", None), ("1", "positive"), ("2", "positive"), ("3", None)]
-    assert T.merge_answers(rows, target, SENTIMENT).count() == 5
+    T.stream_answers(spark, source, target, state, PARCELS).awaitTermination()
+    assert T.merge_answers(rows, target, PARCELS).filter("bulk IS NOT NULL").count() == 1
+    put(spark, source, [ok("row_2", GOOD), ok("row_1", GOOD | {"bulk": "large"})])
+    T.stream_answers(spark, source, target, state, PARCELS).awaitTermination()
+    merged = T.merge_answers(rows, target, PARCELS, on_duplicate="first")
+    assert sorted((r._row_id, r.bulk) for r in merged.collect()) == [("0", None), ("1", "small"), ("2", "small"), ("3", None)]
+    assert T.merge_answers(rows, target, PARCELS).count() == 5
 
 
 def test_streams_share_a_table(spark):
@@ -40,13 +40,13 @@ def test_streams_share_a_table(spark):
         source, state = shared_dir(spark, "lines"), shared_dir(spark, "state")
         put(spark, source, [line])
         for _ in range(2):
-            T.stream_answers(spark, source, target, state, SENTIMENT).awaitTermination()
+            T.stream_answers(spark, source, target, state, PARCELS).awaitTermination()
     rows = spark.range(3).select(F.col("id").cast("string").alias("_row_id"))
-    assert T.merge_answers(rows, target, SENTIMENT).filter("sentiment IS NOT NULL").count() == 1
+    assert T.merge_answers(rows, target, PARCELS).filter("bulk IS NOT NULL").count() == 1
     assert [(r._row_id, r.error) for r in T.stream_errors(spark, target).collect()] == [("2", "No result in response")]
 
 
 def test_a_stream_needs_ids(spark):
     rows = spark.readStream.schema("text string").json(shared_dir(spark, "none") + "*")
     with pytest.raises(ValueError, match="id column"):
-        T.stream_requests(rows, SENTIMENT, "t", "c")
+        T.stream_requests(rows, PARCELS, "t", "c")
