@@ -669,6 +669,26 @@ def scan_csv(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def scan_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Files with four separators in one folder, each read by its own."""
+    path = shared_dir(spark, "delimited")
+    for i, sep in enumerate(D.SEPARATORS):
+        D.write_delimited(_documents(spark, folder).where(F.col("doc_id") % 4 == i), f"{path}/{i}", sep)
+    df = D.read_delimited(spark, f"{path}/*", schema="doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return df.select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@query("""SELECT * FROM (VALUES ('found', true, '', (SELECT count(*) FROM documents), 5), ('given', true, '', (SELECT count(*) FROM documents), 5),
+    ('missing', false, 'Missing columns: label, score', (SELECT count(*) FROM documents), 5), ('wrong', false, 'Missing columns: text', (SELECT count(*) FROM documents), 1)) AS t("check", ok, message, n_rows, n_columns)""")
+def file_check(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_dir(spark, "delimited")
+    D.write_delimited(_documents(spark, folder), path, ";")
+    cases = {"found": (["text"], None), "given": (["text", "lang"], ";"), "missing": (["text", "label", "score"], None), "wrong": (["text"], "|")}
+    found = {name: D.check_delimited(spark, path, required, sep) for name, (required, sep) in cases.items()}
+    return spark.createDataFrame([(name, *check) for name, check in found.items()], "check string, ok boolean, message string, n_rows long, n_columns int")
+
+
 @query("""SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, d.text, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     df = _documents(spark, folder).select("doc_id", "text").join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left")

@@ -1,15 +1,25 @@
-"""Delimited files: separator sniffing, reading, writing."""
+"""Delimited files: separator sniffing, reading, writing.
+
+Files whose cells may hold line breaks are read in blocks, like any text, by many tasks (``_records``): whether a line begins inside a quoted
+cell depends only on how many quotes stand before it in its file, odd or even. A first pass over the lines finds, for each block, whether
+its quotes are odd, and how many records begin in it if it begins outside or inside of a cell; sums over a file's blocks, one narrow row each, then
+say how every block begins and how many records precede it. A second pass numbers the records, and lines of one record that are
+more than one are put together again, across blocks too.
+"""
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelmill.session import shared_dir
+
 # Separators tried, in order of preference.
 SEPARATORS = (",", ";", "\t", "|")
 
@@ -19,13 +29,16 @@ _QUOTING = {"header": True, "quote": '"', "escape": '"'}
 # Reading tells a quoted empty cell from a missing one: the latter stands for this text while parsing.
 _READING = _QUOTING | {"nullValue": "\ue000"}
 
+# Headers differ by separator and quotes at most; more are no table.
+_MOST_HEADERS = 100
+
 # Inference takes date-like cells as text: no cell can match this format.
 _NO_DATES = {"preferDate": False, "timestampFormat": "'never'yyyy"}
 
 
 def separator_of(header: str) -> str:
     """The candidate that occurs most often in a header line; the earlier one of equals, a comma if none occurs."""
-    header = header.removeprefix("﻿")
+    header = header.removeprefix("\ufeff")
     best = max(SEPARATORS, key=header.count)
     return best if header.count(best) else ","
 
@@ -45,16 +58,23 @@ def _first_line(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, schema: T.StructType | str | None = None,
-                   id_column: str | None = None, multi_line: bool = True, sampling_ratio: float = 1.0) -> DataFrame:
+                   id_column: str | None = None, multi_line: bool | str = True, sampling_ratio: float = 1.0, infer: bool = True) -> DataFrame:
     """Read delimited files with a header.
 
-    Without ``schema`` the types are inferred: numbers and booleans, all else (dates too) text. ``id_column`` is always read as
-    text, so that leading zeros survive. Inference reads the input once more, and ``multi_line`` (cells may hold line breaks) makes
-    a file one task: for large inputs give a schema, and set ``multi_line=False`` where no cell holds a line break.
+    Without ``schema`` the types are inferred: numbers and booleans, all else (dates too) text; without ``infer`` all are text. ``id_column``
+    is always read as text, so that leading zeros survive.
+
+    ``multi_line=True``: cells may hold line breaks, if they are quoted, as cells with quotes must be. Files are read by several tasks, and without
+    ``sep``, each by the separator its own header shows; their headers must have the same names. ``"whole"`` leaves it to Spark's parser, one task
+    for each file, for files that have stray quotes in cells without any. ``False``: no cell holds a line break.
     """
-    reader = spark.read.options(**_READING, sep=sep or detect_separator(spark, path), multiLine=multi_line)
+    if multi_line is True:
+        return _read_split(spark, path, sep, schema, id_column, sampling_ratio, infer)
+    reader = spark.read.options(**_READING, sep=sep or detect_separator(spark, path), multiLine=bool(multi_line))
     if schema is not None:
         return reader.schema(schema).csv(path)
+    if not infer:
+        return reader.csv(path)
     reader = reader.options(**_NO_DATES)
     inferred = reader.options(inferSchema=True, samplingRatio=sampling_ratio).csv(path)
     if id_column is None or id_column not in inferred.columns:
@@ -63,6 +83,111 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, schem
     return reader.schema(T.StructType(fields)).csv(path)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines with their file, block and place in it, whether their quotes are odd and whether they are empty. A carriage return stays at the end."""
+    text = F.col("value")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.when(F.col("_metadata.file_block_start") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(text).alias("value"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.select("*", (quotes % 2).alias("odd"), F.col("value").isin("", "\r").alias("empty"))
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """``file, block, inside, before, header``: how each block begins (1: inside a cell), how many records begin before it, and the first line
+    of each file's first block. Written, as both passes and the driver read it."""
+    ahead = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    parity = (F.coalesce(F.sum("odd").over(ahead), F.lit(0)) % 2).alias("parity")
+    narrow = lines.select("file", "block", "at", "odd", "empty").select("*", parity)
+    begins = [F.count_if(~F.col("empty") & (F.col("parity") == k)).alias(f"begin{k}") for k in (0, 1)]
+    counted = narrow.groupBy("file", "block").agg((F.sum("odd") % 2).alias("odd"), *begins)
+    first = lines.where("block = 0 and not empty").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counted.withColumn("inside", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    began = F.when(F.col("inside") == 0, F.col("begin0")).otherwise(F.col("begin1"))
+    placed = inside.withColumn("before", F.coalesce(F.sum(began).over(earlier), F.lit(0))).join(first, "file").select("file", "block", "inside", "before", "header")
+    path = shared_dir(lines.sparkSession, "blocks")
+    placed.write.parquet(path)
+    return lines.sparkSession.read.schema(placed.schema).parquet(path)
+
+
+def _records(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``file, header, number, record``: every record with its number in its file, from 1, the header's."""
+    ahead = Window.partitionBy("file", "block").orderBy("at")
+    inside = (F.col("inside") + F.coalesce(F.sum("odd").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2
+    opened = lines.join(blocks, ["file", "block"]).withColumn("inside", inside).where(~(F.col("empty") & (F.col("inside") == 0)))
+    number = F.col("before") + F.sum(1 - F.col("inside")).over(ahead.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = opened.select("file", "header", number.alias("number"), "block", "at", "value", ((F.col("inside") == 0) & (F.col("odd") == 0)).alias("alone"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))  # the lines of one record
+    joined = numbered.where("not alone").groupBy("file", "header", "number").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("record"))
+    both = numbered.where("alone").select("file", "header", "number", F.col("value").alias("record")).unionByName(joined)
+    return both.withColumn("record", F.regexp_replace("record", "\r$", ""))
+
+
+def _names(header: str, sep: str) -> list[str]:
+    """Column names of a header line; empty and repeated ones are told apart by their place."""
+    if header.count('"') % 2:
+        raise ValueError("A header over several lines can only be read with multi_line='whole'")
+    cells = next(csv.reader([header.removesuffix("\r")], delimiter=sep))
+    low = [c.lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if low.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
+
+
+def _read_split(spark: SparkSession, path: str, sep: str | None, schema: T.StructType | str | None, id_column: str | None, sampling_ratio: float, infer: bool) -> DataFrame:
+    lines = _lines(spark, path)
+    blocks = _blocks(lines)
+    headers = [r.header for r in blocks.select("header").distinct().limit(_MOST_HEADERS + 1).collect()]
+    if not headers:
+        raise ValueError(f"No header at {path}")
+    if len(headers) > _MOST_HEADERS:
+        raise ValueError(f"Files at {path} have more than {_MOST_HEADERS} different headers")
+    seps = {h: sep or separator_of(h) for h in headers}
+    names = {tuple(_names(h, s)) for h, s in seps.items()}
+    if len(names) > 1:
+        raise ValueError(f"Files at {path} have different columns: {' | '.join(', '.join(n) for n in sorted(names)[:3])}")
+    records = _records(lines, blocks).where("number > 1")
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in names.pop()])
+    if schema is not None:
+        return _parsed(records, seps, _schema(schema))
+    if not infer:
+        return _parsed(records, seps, texts)
+    cells = _parsed(records, seps, texts)
+    sample = cells if sampling_ratio >= 1 else cells.sample(sampling_ratio, seed=1)
+    found = sample.agg(*[_fits(F.col(f"`{n}`")).alias(str(i)) for i, n in enumerate(texts.names)]).first()
+    types = [T.StringType() if n == id_column else next((t for t, ok in zip(_INFERRED, found[i], strict=True) if ok), T.StringType()) for i, n in enumerate(texts.names)]
+    return _parsed(records, seps, T.StructType([T.StructField(n, t) for n, t in zip(texts.names, types, strict=True)]))
+
+
+_INFERRED = (T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType())
+
+
+def _fits(cell: Column) -> Column:
+    """For each type that is inferred, whether all cells can be read as it. A column without cells is text."""
+    whole = F.when(cell.rlike(r"^[+-]?[0-9]+$"), cell)
+    own = [whole.try_cast("int").isNotNull(), whole.try_cast("bigint").isNotNull(), ~cell.rlike(r"^\s|\s$") & cell.try_cast("double").isNotNull(), F.lower(cell).isin("true", "false")]
+    return F.struct(*[F.coalesce(F.bool_and(F.when(cell.isNotNull(), ok)), F.lit(False)).alias(f"t{i}") for i, ok in enumerate(own)])
+
+
+def _schema(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _parsed(records: DataFrame, seps: dict[str, str], schema: T.StructType) -> DataFrame:
+    """The cells of the records; each file's separator is that of its header."""
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in (_READING | _NO_DATES).items() if k != "header"}
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+
+    def cells(sep: str) -> Column:
+        return F.from_csv("record", ddl, options | {"sep": sep, "multiLine": "true"})
+
+    first, *others = sorted(set(seps.values()))
+    parsed = cells(first)
+    for sep in others:
+        parsed = F.when(F.col("header").isin([h for h, s in seps.items() if s == sep]), cells(sep)).otherwise(parsed)
+    # The output of a generator: filters on cells stay above, so that each record is parsed once.
+    return records.select(F.inline(F.array(parsed)))
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = ",", single_file: bool = False) -> None:
     """Write with a header; white space and line breaks inside cells survive. ``single_file`` is for small results only."""
     out = df.coalesce(1) if single_file else df
@@ -76,19 +201,14 @@ class FileCheck(NamedTuple):
     columns: int
 
 
-def check_delimited(spark: SparkSession, path: str, required: Sequence[str]) -> FileCheck:
-    """Tell whether files can be read and hold the required columns."""
+def check_delimited(spark: SparkSession, path: str, required: Sequence[str], sep: str | None = None, multi_line: bool | str = True) -> FileCheck:
+    """Tell whether files can be read and hold the required columns. No types are inferred."""
     try:
-        df = read_delimited(spark, path, schema=_text_schema(spark, path))
+        df = read_delimited(spark, path, sep, multi_line=multi_line, infer=False)
         rows, columns = df.count(), len(df.columns)
     except (PySparkException, ValueError) as e:
-        return FileCheck(False, f"Failed to read CSV: {str(e).splitlines()[0]}", 0, 0)
+        return FileCheck(False, f"Cannot read the files: {str(e).splitlines()[0]}", 0, 0)
     missing = [c for c in required if c not in df.columns]
     if missing:
         return FileCheck(False, f"Missing columns: {', '.join(missing)}", rows, columns)
     return FileCheck(True, "", rows, columns)
-
-
-def _text_schema(spark: SparkSession, path: str) -> T.StructType:
-    # Names only: without inference the header gives text columns.
-    return spark.read.options(**_READING, sep=detect_separator(spark, path), multiLine=True).csv(path).schema

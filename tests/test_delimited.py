@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 
 from labelmill.sources import delimited as D
@@ -12,7 +15,7 @@ def put(tmp_path, name, text):
 
 @pytest.mark.parametrize("text, sep", [
     ("col_a,col_b,col_c\n1,2,3\n", ","), ("col_a;col_b;col_c\n", ";"), ("col_a\tcol_b\tcol_c\n", "\t"), ("col_a|col_b|col_c\n", "|"),
-    ("col_a\n1\n", ","), ("a,b;c\n", ","), ("a,b;c;d\n", ";"), ("﻿a;b\n", ";"), ("", ","), ("a\n;;;;\n", ","),
+    ("col_a\n1\n", ","), ("a,b;c\n", ","), ("a,b;c;d\n", ";"), ("\ufeffa;b\n", ";"), ("", ","), ("a\n;;;;\n", ","),
 ])
 def test_separators(spark, tmp_path, text, sep):
     assert D.detect_separator(spark, put(tmp_path, "x.csv", text)) == sep
@@ -44,7 +47,7 @@ def test_check(spark, tmp_path):
     assert D.check_delimited(spark, path, ["a"]) == (True, "", 2, 2)
     assert D.check_delimited(spark, path, ["a", "c", "d"]) == (False, "Missing columns: c, d", 2, 2)
     bad = D.check_delimited(spark, str(tmp_path / "none.csv"), ["a"])
-    assert not bad.ok and bad.message.startswith("Failed to read CSV: ") and bad[2:] == (0, 0)
+    assert not bad.ok and bad.message.startswith("Cannot read the files: ") and bad[2:] == (0, 0)
 
 
 def test_roundtrip(spark, tmp_path):
@@ -55,3 +58,64 @@ def test_roundtrip(spark, tmp_path):
         D.write_delimited(df, path, sep, single_file=i == 0)
         back = D.read_delimited(spark, path, schema=df.schema)
         assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Blocks of a few hundred bytes, so that records and cells lie across many of them."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("300", "0"), strict=True):
+        spark.conf.set(n, v)
+    yield
+    for n, v in zip(names, old, strict=True):
+        spark.conf.set(n, v)
+
+
+def write_csv(path, names, rows, sep, end, rng, bom=False):
+    with open(path, "w", newline="", encoding="utf-8-sig" if bom else "utf-8") as f:
+        writer = csv.writer(f, delimiter=sep, lineterminator=end)
+        writer.writerow(names)
+        for r in rows:
+            writer.writerow(r)
+            if rng.random() < 0.05:
+                f.write(end)  # an empty line is no record
+
+
+def test_line_breaks_in_split_files(spark, tmp_path, small_blocks):
+    rng = random.Random(8)
+    cells = ["a", "b,c", 'x"y', "line\nbreak", '"', "\r\n", "", " sp ", 'é\n\n\n"q"', ";", "\n" * 400, '""\n""', "1"]
+    rows = [[str(i), *[rng.choice(cells) for _ in range(3)]] for i in range(300)]
+    for j, (sep, end) in enumerate([(";", "\n"), (",", "\r\n"), ("\t", "\n")]):
+        write_csv(tmp_path / f"f{j}.csv", ["id", "a", 'b "q"', "a"], rows[j * 100 : j * 100 + 100], sep, end, rng, bom=j == 1)
+    df = D.read_delimited(spark, str(tmp_path))
+    assert df.columns == ["id", "a1", 'b "q"', "a3"] and dict(df.dtypes)["id"] == "int"
+    assert sorted(tuple(r) for r in df.collect()) == [(int(r[0]), *[c or None for c in r[1:]]) for r in rows]
+    assert spark.read.text(str(tmp_path / "f0.csv")).rdd.getNumPartitions() > 20
+    assert sorted(tuple(r) for r in D.read_delimited(spark, str(tmp_path), infer=False, id_column="id").select("id").collect()) == sorted((r[0],) for r in rows)
+    # Sums over blocks are the only ordering of a whole file; they have a row for each block.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Python" not in plan
+
+
+def test_one_way_and_another_agree(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [[rng.choice(["1", "-2", "+3", "9999999999", "1.5", "1e3", "true", "False", "", "x", "007", " 4"]) for _ in range(2)] for _ in range(6)]
+    for i in range(12):
+        part = rng.sample(rows, 3)
+        path = str(tmp_path / f"{i}.csv")
+        write_csv(path, ["p", "q"], part, ",", "\n", rng)
+        split, whole = (D.read_delimited(spark, path, multi_line=m) for m in (True, "whole"))
+        assert split.dtypes == whole.dtypes and sorted(map(str, split.collect())) == sorted(map(str, whole.collect())), part
+
+
+def test_files_that_do_not_fit_together(spark, tmp_path):
+    put(tmp_path, "a.csv", "a;b\n1;2\n")
+    put(tmp_path, "b.csv", "a,c\n1,2\n")
+    with pytest.raises(ValueError, match="different columns"):
+        D.read_delimited(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="No header"):
+        D.read_delimited(spark, put(tmp_path, "empty.txt", ""))
+    with pytest.raises(ValueError, match="several lines"):
+        D.read_delimited(spark, put(tmp_path, "long.txt", '"a\nb",c\n1,2\n'))
+    assert D.read_delimited(spark, put(tmp_path, "bare.txt", "a,b\n")).count() == 0
