@@ -69,22 +69,24 @@ def chunked(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BY
             begin = end
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n).bit_length())
-    if size not in _powers:
-        def powers(base: np.uint64) -> np.ndarray:
-            out = np.full(size, base, dtype=np.uint64)
-            out[0] = 1
-            return np.cumprod(out)
-
-        made = powers(_BASE), powers(_BASE_INVERSE)
-        if size > 1 << 22:
-            return made
-        _powers[size] = made
-    return _powers[size]
+    """Powers of the base and of its inverse, at least ``n`` of each. The longest up to four million are kept."""
+    if _powers and len(_powers[0][0]) >= n:
+        return _powers[0]
+    size = 1 << max(19, int(n).bit_length())
+
+    def powers(base: np.uint64) -> np.ndarray:
+        out = np.full(size, base, dtype=np.uint64)
+        out[0] = 1
+        return np.cumprod(out)
+
+    made = powers(_BASE), powers(_BASE_INVERSE)
+    if size <= 1 << 22:
+        _powers[:] = [made]
+    return made
 
 
 def word_spans(data: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
