@@ -26,3 +26,9 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, name, FOLDER, QUERIES, ORACLES) > 0
+
+
+@pytest.mark.parametrize("name", ["batch_list", "merge_hot", "batch_status", "stream_upsert"])
+def test_query_on_more_rows(spark, name):
+    folder = "/root/testdata/sf0.01"
+    assert compare(spark, connect(folder), name, folder, QUERIES, ORACLES) > 0
