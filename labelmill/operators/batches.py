@@ -76,6 +76,19 @@ def response_states(lines: DataFrame) -> DataFrame:
     return read.select(*kept, F.coalesce("_head.custom_id", F.lit("")).alias("custom_id"), F.coalesce("_head.result.type", F.lit("errored")).alias("state"))
 
 
+def log_rows(status: DataFrame, batch_id: Column, created_at: Column, updated_at: Column, **paths: Column) -> DataFrame:
+    """Rows for the log from what ``batch_status`` gives: one for each batch, with the counts of its succeeded and of its failed requests
+    (errored, canceled and expired ones). The four arguments and ``paths`` (columns of the log) may refer to the columns of ``status``."""
+    unknown = set(paths) - {f.split()[0] for f in LOG_SCHEMA.split(", ") if f.split()[0].endswith("_path")}
+    if unknown:
+        raise ValueError(f"The log has no columns {', '.join(sorted(unknown))}")
+    own = {
+        "batch_id": batch_id, "status": batch_state(F.col("status")), "created_at": created_at, "updated_at": updated_at, "total_requests": F.col("total"),
+        "completed_requests": F.col("succeeded"), "failed_requests": F.col("errored") + F.col("canceled") + F.col("expired"), **paths,
+    }
+    return status.select(*[own.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (f.split() for f in LOG_SCHEMA.split(", "))])
+
+
 def append_batch_log(changes: DataFrame, path: str) -> None:
     """Add state changes of batches to the log. The log only grows; the latest row of a batch is its state."""
     changes.select(*[f.split()[0] for f in LOG_SCHEMA.split(", ")]).write.mode("append").parquet(path)

@@ -30,6 +30,7 @@ from labelmill.sources import records as S
 from labelmill.sources.prices import MODEL_PRICES, price_table
 from labelmill.spec import LabelSpec, OutputField
 from labelmill.streaming import ingest as T
+from labelmill.streaming import progress as G
 from labelmill.streaming.rounds import ROUND, STREAM, add_round, compact, history
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -636,6 +637,21 @@ def batch_list_all(spark: SparkSession, folder: str) -> DataFrame:
     return B.batch_list(B.read_batch_log(spark, path))
 
 
+@query(f"""SELECT 'batch_' || batch_no AS batch, CASE WHEN waiting = 0 THEN 'ended' ELSE 'in_progress' END AS status, '2024-01-01 00:00' AS created,
+    good || '/' || total AS requests, CAST(round_even(good / total * 100, 0) AS BIGINT) || '%' AS progress FROM (
+    SELECT batch_no, count(*) AS total, count(*) FILTER (WHERE doc_id % 5 = 0 AND batch_no % 2 = 1) AS waiting,
+        count(*) FILTER (WHERE NOT (doc_id % 5 = 0 AND batch_no % 2 = 1) AND doc_id % 16 NOT IN (8, 9, 15)) AS good FROM ({_BATCHED}) GROUP BY batch_no)""")
+def batch_progress_logged(spark: SparkSession, folder: str) -> DataFrame:
+    """Two polls of the batches go to the log, before and after responses came; the list shows the second."""
+    path, at = shared_dir(spark, "batch-log"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    requests, documents = _batched_requests(spark, folder), _documents(spark, folder)
+    waiting = (F.col("doc_id") % 5 == 0) & (F.floor(F.col("doc_id") / 250) % 2 == 1)
+    for minute, answered in enumerate([F.lit(False), ~waiting]):
+        status = B.batch_status(requests, B.response_states(document_responses(documents.filter(answered))))
+        B.append_batch_log(B.log_rows(status, F.concat(F.lit("batch_"), "batch_no"), at, at + F.make_dt_interval(mins=F.lit(minute))), path)
+    return B.batch_list(B.read_batch_log(spark, path))
+
+
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'ended' WHEN 'O' THEN 'in_progress' ELSE 'pending' END AS state,
     o_orderstatus = 'F' AS is_done FROM orders""")
 def batch_states(spark: SparkSession, folder: str) -> DataFrame:
@@ -726,6 +742,33 @@ def stream_merge(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select(F.col("_row_id").alias("row_id"), "source", "quality", "toxic")
 
 
+@query("""SELECT batch_no, CASE WHEN processing = 0 THEN 'ended' ELSE 'in_progress' END AS status, total, processing, succeeded, errored, canceled, expired,
+    processing = 0 AS is_done, round((succeeded + errored) / total, 6) AS progress FROM (
+    SELECT o_orderkey // 500 AS batch_no, count(*) AS total, count(*) FILTER (WHERE NOT answered AND NOT past) AS processing,
+        count(*) FILTER (WHERE answered AND o_orderstatus <> 'P') AS succeeded, count(*) FILTER (WHERE answered AND o_orderstatus = 'P') AS errored,
+        CAST(0 AS BIGINT) AS canceled, count(*) FILTER (WHERE NOT answered AND past) AS expired
+    FROM (SELECT *, o_orderkey % 7 NOT IN (2, 3) AS answered, o_orderdate + INTERVAL 25 HOUR < (SELECT max(o_orderdate) FROM orders) AS past FROM orders)
+    GROUP BY 1)""")
+def stream_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders are requests, sent on their date; one in seven is never answered, one in seven too late, some twice; one response has no request. What is
+    unanswered a day later is expired, as far as both streams have come (one hour less than the last time seen)."""
+    orders, key = table(spark, folder, "orders"), F.col("o_orderkey")
+    asked, told, target, state = (shared_dir(spark, p) for p in ("asked", "told", "outcomes", "state"))
+    request = encode_request_id(key).alias("custom_id")
+    requests = orders.select(request, F.floor(key / 500).cast("bigint").alias("batch_no"), F.col("o_orderdate").cast("timestamp").alias(G.SENT))
+    hours = F.explode(F.when(key % 7 == 2, F.array()).when(key % 7 == 3, F.array(F.lit(25))).when(key % 7 == 4, F.array(F.lit(2), F.lit(23))).otherwise(F.array(F.lit(5))))
+    arrived = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=F.col("hour"))
+    result = F.when((F.col("o_orderstatus") == "P") | ((key % 7 == 4) & (F.col("hour") == 2)), "errored").otherwise("succeeded")
+    responses = orders.select("*", hours.alias("hour")).select(request, result.alias("state"), arrived.alias(G.ANSWERED))
+    stranger = requests.agg(F.lit("row_none").alias("custom_id"), F.lit("succeeded").alias("state"), (F.max(G.SENT) + F.expr("INTERVAL 30 HOURS")).alias(G.ANSWERED))
+    requests.write.parquet(asked)
+    responses.union(stranger).write.parquet(told)
+    streams = [spark.readStream.schema(df.schema).parquet(path) for df, path in ((requests, asked), (responses, told))]
+    G.stream_outcomes(*streams, target, state).awaitTermination()
+    status = G.live_status(requests, target)
+    return status.withColumn("progress", F.round("progress", 6))
+
+
 ROUND_SPEC = LabelSpec("You read orders.", "{o_orderkey}", (OutputField("round", "integer"), OutputField("stream", "string")), id_column="o_orderkey")
 
 
