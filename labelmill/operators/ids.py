@@ -90,20 +90,35 @@ def number_files(spark: SparkSession, path: str, offset: int = 1, row_id: str =
 
 
 def _add_offsets(source: DataFrame, counted: DataFrame, part: str, pos: str, offset: int, row_id: str, row_no: str) -> DataFrame:
-    """Number by the place within a part and the rows of the parts before. There is one row to sum over for each written or listed file.
-    Their offsets are written first: Spark then knows their size when it chooses the join."""
+    """Number by the place within a part and the rows of the parts before. Their offsets are written first: Spark then knows their size
+    when it chooses the join."""
     start = _free(source, ["_start"])[0]
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sizes = counted.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
     path = shared_dir(source.sparkSession, "offsets")
-    offsets.write.parquet(path)
-    offsets = source.sparkSession.read.schema(offsets.schema).parquet(path)
+    rows_before(sizes, part, "n", start).write.parquet(path)
+    offsets = source.sparkSession.read.schema(f"`{part}` {sizes.schema[part].dataType.simpleString()}, `{start}` bigint").parquet(path)
     rest = [F.col(f"`{c}`") for c in source.columns if c not in (part, pos)]
     numbered = source.join(offsets, part).withColumn(row_no, F.col(pos) + F.col(start) + F.lit(offset).cast("bigint"))
     return numbered.select(F.col(row_no).cast("string").alias(row_id), row_no, *rest)
 
 
+def rows_before(sizes: DataFrame, part: str, n: str, name: str) -> DataFrame:
+    """For each part, in order, the sum of ``n`` over the parts before it, without a task that sees all parts.
+
+    The parts (distinct) are range-sorted and written with their range; one sum for each range, at most ``spark.sql.shuffle.partitions`` of them,
+    is all that comes together, in one small array. Its running sums are joined back, and each range sums up its own parts.
+    """
+    spark, path = sizes.sparkSession, shared_dir(sizes.sparkSession, "ranges")
+    ranged = sizes.select(part, n).orderBy(part).select(part, n, F.spark_partition_id().alias("_range"))
+    ranged.write.parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path)
+    sums = stored.groupBy("_range").agg(F.sum(n).alias("sum")).agg(F.array_sort(F.collect_list(F.struct("_range", "sum"))).alias("s"))
+    before = F.transform("s", lambda x, i: F.struct(x["_range"].alias("_range"), F.aggregate(F.slice("s", 1, i), F.lit(0).cast("bigint"), lambda t, y: t + y["sum"]).alias("_base")))
+    bases = sums.select(F.inline(before))
+    within = F.sum(n).over(Window.partitionBy("_range").orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    return stored.select("*", F.coalesce(within, F.lit(0)).alias("_within")).join(F.broadcast(bases), "_range").select(part, (F.col("_base") + F.col("_within")).alias(name))
+
+
 def assign_batches(df: DataFrame, batch_size: int, row_no: str = ROW_NO, offset: int = 1, batch_no: str = BATCH_NO) -> DataFrame:
     """Put rows into batches of ``batch_size`` by their dense number; only the last batch may be short."""
     if not 1 <= batch_size <= MAX_BATCH_SIZE:

@@ -112,7 +112,7 @@ class Labeler:
         return build_requests(rows, self.spec)
 
     def prepare(self, rows: DataFrame, path: str) -> DataFrame:
-        """Write the requests of numbered rows, a folder per batch, and return them. Without a responder this is a dry run."""
+        """Write the requests of numbered rows, a file per batch, and return them. Without a responder this is a dry run."""
         requests = self.requests(rows)
         write_requests(requests, path)
         return requests

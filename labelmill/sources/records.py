@@ -6,12 +6,15 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.errors import SpecError
 from labelmill.functions.jsondoc import at, parse_exact
 
+#: The most folders that the requests of one job are written to.
+MOST_FOLDERS = 200
+
 ERROR_SCHEMA = "_row_id string, custom_id string, error string, content string, raw string"
 
 
@@ -55,17 +58,38 @@ def write_lines(df: DataFrame, path: str, column: str = "value") -> None:
     df.select(F.col(column).alias("value")).write.text(path)
 
 
-def write_requests(requests: DataFrame, path: str, batch_column: str | None = "batch_no") -> None:
-    """Write requests as JSONL, a folder per batch. Numbered rows come in number order, so each task writes few folders."""
+def write_requests(requests: DataFrame, path: str, batch_column: str | None = "batch_no", most_folders: int = MOST_FOLDERS) -> None:
+    """Write requests as JSONL, each batch in one file of its own, in at most ``most_folders`` folders.
+
+    A run of ``per`` consecutive batches goes to one task, by direct partition number, and the place of a batch in its run is its folder:
+    ``per=<per>/place=<place>/part-<task>-...`` then holds just one batch, number ``task * per + place`` (``batch_of_file``), be it full or
+    not. ``per`` is 1 as long as there are no more batches than shuffle partitions. Finding the last number reads the batch column alone.
+    """
     if batch_column is None or batch_column not in requests.columns:
         write_lines(requests, path, "request")
         return
-    requests.select(batch_column, F.col("request").alias("value")).write.partitionBy(batch_column).text(path)
+    batch = F.col(f"`{batch_column}`").cast("bigint")
+    first, last, none = requests.agg(F.min(batch), F.max(batch), F.count_if(batch.isNull())).first()
+    if none or (first or 0) < 0:
+        raise SpecError("Batch numbers must be 0 or more, and no request may be without one")
+    batches = (last or 0) + 1
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = max(1, min(most_folders, -(-batches // tasks)))
+    placed = requests.select(F.col("request").alias("value"), batch.alias("_batch")).repartitionById(-(-batches // per), F.floor(F.col("_batch") / per).cast("int"))
+    placed.select("value", F.lit(per).alias("per"), (F.col("_batch") % per).cast("int").alias("place")).write.partitionBy("per", "place").text(path)
+
+
+def batch_of_file() -> Column:
+    """The batch of a line that ``write_requests`` wrote, from the file's place; the file source must give ``per`` and ``place``."""
+    task = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)-", 1).cast("bigint")
+    return task * F.col("per") + F.col("place")
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Written requests with their parts: ids, model, system text, prompt, schema; the batch number where folders give one."""
+    """Written requests with their parts: ids, model, system text, prompt, schema; the batch number where they were written by batch."""
     lines = spark.read.text(path)
+    if {"per", "place"} <= set(lines.columns):
+        lines = lines.select("value", batch_of_file().alias("batch_no"))
     kept = [c for c in lines.columns if c != "value"]
     docs = lines.filter(F.col("value").rlike(r"(?U)\S")).select(*kept, "value", parse_exact(F.col("value")).alias("doc"))
     doc = F.col("doc")

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from labelmill.operators.batches import batch_status, response_states
 from labelmill.operators.ids import BATCH_NO
-from labelmill.sources.records import read_or_empty
+from labelmill.sources.records import batch_of_file, read_or_empty
 
 SENT, ANSWERED = "sent_at", "answered_at"
 #: What a request is whose response did not come in time.
@@ -18,9 +18,9 @@ STATE_SCHEMA = f"custom_id string, {BATCH_NO} bigint, state string"
 
 
 def request_times(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of ``custom_id, batch_no, sent_at`` from written requests, a folder per batch; the time is that of the file."""
-    lines = _lines(spark, f"value string, {BATCH_NO} bigint", folder, files_per_trigger)
-    return lines.select(F.get_json_object("value", "$.custom_id").alias("custom_id"), BATCH_NO, _file_time().alias(SENT)).where("custom_id is not null")
+    """A stream of ``custom_id, batch_no, sent_at`` from what ``write_requests`` wrote by batch; the time is that of the file."""
+    lines = _lines(spark, "value string, per int, place int", folder, files_per_trigger)
+    return lines.select(F.get_json_object("value", "$.custom_id").alias("custom_id"), batch_of_file().alias(BATCH_NO), _file_time().alias(SENT)).where("custom_id is not null")
 
 
 def response_times(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -51,6 +51,19 @@ def test_numbers_do_not_change(spark):
     assert rows_of(df) == rows_of(df)
 
 
+def test_rows_before_has_no_task_of_all_parts(spark):
+    sizes = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("part"), (F.col("id") % 7).alias("n"))
+    before = I.rows_before(sizes.repartition(7), "part", "n", "start")
+    plan = before._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and not any("Window [" in line and "[_range" not in line for line in plan.splitlines())
+    total, want = 0, []
+    for i in range(1000):
+        want.append(total)
+        total += i % 7
+    assert [r.start for r in before.orderBy("part").collect()] == want
+    assert I.rows_before(sizes.limit(0), "part", "n", "start").count() == 0
+
+
 def test_number_files(spark):
     path = shared_dir(spark, "test")
     spark.range(0, 1000, 1, 5).write.parquet(path)

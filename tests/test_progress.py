@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from labelmill.operators import batches as B
 from labelmill.session import shared_dir
+from labelmill.sources.records import write_requests
 from labelmill.streaming import progress as G
 from tests.test_responses import GOOD, envelope, ok
 from tests.test_streams import put
@@ -47,8 +48,8 @@ def test_nothing_given_out_yet(spark):
 
 def test_times_of_files(spark):
     asked, told, target, state = (shared_dir(spark, p) for p in ("asked", "told", "outcomes", "state"))
-    for n in (1, 2):
-        put(spark, f"{asked}/batch_no={n}", [f'{{"custom_id": "row_{n}"}}', f'{{"custom_id": "row_{n}0"}}', "", "broken"])
+    lines = [(n, v) for n in (1, 2) for v in (f'{{"custom_id": "row_{n}"}}', f'{{"custom_id": "row_{n}0"}}', "", "broken")]
+    write_requests(spark.createDataFrame(lines, "batch_no bigint, request string"), asked)
     put(spark, told, [ok("row_1", GOOD), envelope("row_20", {}), " "])
     G.stream_outcomes(G.request_times(spark, asked), G.response_times(spark, told), target, state).awaitTermination()
     rows = spark.read.parquet(target).orderBy("custom_id").collect()
