@@ -1,16 +1,21 @@
 """Operator 6: main text of web pages by a site style tree.
 
 Pages are parsed into blocks, each with its path of block elements (tag and first class). The pages of one host are merged into a style tree
-by counting, for each path, in how many pages it is and how its contents spread over them. A node's importance is the product of
+by counting, for each path, in how many pages it is, how its contents spread over them, and how its branch is built in them. A node's importance
+comes from
 
-* content importance: the entropy of its contents over the host's distinct pages, against that of as many different ones; 1 for nodes of
-  fewer than ``MIN_PAGES`` pages, which prove nothing, and
-* presentation importance: 0 if an element of its path presents menus, headers, footers, sidebars, notices, adverts, forms or reader
-  comments by tag, role, class or id; else 1.
+* content importance: the entropy of its contents over the host's distinct pages, against that of as many different ones, and
+* presentation importance: the entropy of its branch's build (the paths of the blocks in it) over the pages, likewise, and
+* its marks: an element is **plainly** furniture if its tag, role, class or id says menu, header, footer, sidebar, notice, advert, form or reader
+  comments; it is **doubtful** if such a word is only a part of a name (``form-group``, ``content-related``).
 
-Branches whose importance is below ``LEAST`` are cut from each page. What an ``article`` or ``main`` element holds is judged by what lies
-within it, and pages that have one are read nowhere else. Character references are decoded, white space in a block becomes one space, and
-blocks are joined in page order by one space.
+Cut are plainly marked branches, doubtful ones (of nested ones the outermost and the innermost count) of one build on all the host's pages (presentation importance below ``LEAST``), and nodes of the same
+contents on all of them (content importance below ``LEAST``). A node in fewer than ``MIN_PAGES`` of the host's distinct pages proves nothing: there
+only plain marks count. What an ``article`` or ``main`` element holds is judged by what lies within it, and pages that have one are read nowhere
+else. Character references are decoded, white space in a block becomes one space, and blocks are joined in page order by one space.
+
+A page is scanned once, in time linear in its length: a tag ends at the first ``>`` outside of a quoted value, and what is open when the page ends (a
+tag, a quote, a comment, a title or script) ends with it and is no text, as in the HTML standard.
 
 Cases: null or empty html gives an empty text; pages without a host are one site each; equal pages count once in the tree; repeated rows
 come back as often; an empty table gives no rows; other columns are not read.
@@ -20,10 +25,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,42 +49,101 @@ FURNITURE_WORDS = {
     "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "responses", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored",
     "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets",
 }
+# Words that often name layout or a subject when they are a part of a name, and words of names that hold what such words only describe.
+DOUBTFUL_WORDS = {"form", "related", "recommended", "social", "search", "header", "notice", "alert", "disclaimer", "discussion", "responses", "share", "promotion", "promo", "widget", "widgets"}
+CONTENT_WORDS = {"article", "body", "content", "entry", "main", "page", "post", "science", "story", "text", "title", "policy"}
+# What a part of furniture is called after it: an advert's slot, a list of comments.
+PART_WORDS = {"area", "bar", "block", "box", "container", "inner", "item", "items", "left", "link", "links", "list", "outer", "overlay", "right", "section", "slot", "top", "bottom", "unit", "wrap", "wrapper"}
 MAIN = {"article", "main"}
 _CLOSED_BY = {"p": INLINE | {"p"}, "li": INLINE | {"li", "p"}, "dt": INLINE | {"dt", "dd", "p"}, "dd": INLINE | {"dt", "dd", "p"}, "tr": INLINE | {"tr", "td", "th", "p"}, "td": INLINE | {"td", "th", "p"}, "th": INLINE | {"td", "th", "p"}, "option": {"option"}}
-_PIECE = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_VALUE = r"""=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+"""  # an equals sign, and a quoted value if there is one
+_PIECE = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:{_VALUE}|[^>=])*+)(>|\Z)|<(?:[!?]|/(?=[^a-zA-Z]))[^>]*+(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")}
+PLAIN, DOUBTFUL = 2, 1
+# Classes that name an element of content, whatever its other classes say.
+CONTENT_NAMES = {"article", "post", "entry", "story", "content", "main"}
+
+
+def mark_of_name(name: str) -> int:
+    """How plainly one class or id says that its element is furniture: ``PLAIN``, ``DOUBTFUL`` or 0."""
+    parts = [w.lower() for w in _NAME.findall(name)]
+    if not FURNITURE_WORDS.intersection(parts):
+        return 0
+    whole, last = name.lower() in FURNITURE_WORDS or "".join(parts) in FURNITURE_WORDS, parts[-1]
+    if whole or parts[0] in ("related", "recommended", "sponsored"):
+        return PLAIN
+    named = [w for w in parts if w in FURNITURE_WORDS]
+    sure = [w for w in named if w not in DOUBTFUL_WORDS]
+    content = CONTENT_WORDS.intersection(parts)
+    if last in sure or (sure and last in PART_WORDS) or len(named) > 1:
+        return PLAIN
+    if last in named or last in PART_WORDS:
+        return DOUBTFUL if content - {"page", "main"} or last in ("related", "science") else PLAIN
+    return DOUBTFUL
 
 
 class _Element:
-    __slots__ = ("tag", "style", "furniture", "main")
+    __slots__ = ("tag", "path", "mark", "main", "doubt")
 
-    def __init__(self, tag: str, attributes: str):
-        known = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip(" /\n\t") else {}
-        names = {w.lower() for key in ("class", "id") for w in _NAME.findall(known.get(key, ""))}
-        self.tag, self.main = tag, tag in MAIN or known.get("role", "").lower() == "main"
-        self.style = tag + "".join("." + c for c in known.get("class", "").split()[:1])
+    def __init__(self, tag: str, attributes: str, above: _Element | None):
+        known: dict[str, str] = {}
+        if attributes.strip(" /\n\t"):
+            for m in _ATTRIBUTE.finditer(attributes):
+                known.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        self.tag, role = tag, known.get("role", "").lower()
+        own_main = tag in MAIN or role == "main"
         shown = "hidden" not in known and "display:none" not in known.get("style", "").replace(" ", "").lower() and known.get("aria-hidden") != "true"
-        self.furniture = not self.main and (not shown or tag in HIDDEN | FURNITURE_TAGS or known.get("role", "").lower() in FURNITURE_ROLES or bool(names & FURNITURE_WORDS))
+        if own_main:
+            mark = 0
+        elif not shown or tag in HIDDEN or tag in FURNITURE_TAGS or role in FURNITURE_ROLES:
+            mark = PLAIN
+        else:
+            mark = max((mark_of_name(name) for key in ("class", "id") for name in known.get(key, "").split()), default=0)
+            if mark == PLAIN and CONTENT_NAMES.intersection(known.get("class", "").lower().split()):
+                mark = DOUBTFUL
+        style = tag + "".join("." + c for c in known.get("class", "").split()[:1])
+        self.path = above.path if above and tag in INLINE and not mark else _digest(f"{above.path if above else 0}>{style}")
+        self.mark = mark
+        self.main = own_main or bool(above and above.main)
+        # Within a main element the marks outside of it do not count.
+        plain_above, doubt_above = (False, ()) if own_main or above is None else (above.mark == PLAIN, above.doubt)
+        if plain_above:
+            self.mark = PLAIN
+        self.doubt = (*doubt_above[:1], self.path) if mark == DOUBTFUL else doubt_above
+
 
+class Block:
+    """Text of a page, with the path of its element; ``doubt`` are the paths of doubtful elements around it."""
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """The page's blocks in order: path, text, whether its presentation marks it as furniture, whether it lies in a main element."""
-    out: list[tuple[str, str, bool, bool]] = []
+    __slots__ = ("path", "text", "plain", "main", "doubt")
+
+    def __init__(self, path: int, text: str, plain: bool, main: bool, doubt: tuple[int, ...]):
+        self.path, self.text, self.plain, self.main, self.doubt = path, text, plain, main, doubt
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order."""
+    out: list[Block] = []
     stack: list[_Element] = []
     held: list[str] = []
+    open_tags: list[Counter] = [Counter()]  # open elements by tag: those outside of main elements, then those within each
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split()) if held else ""
         held.clear()
         if text:
-            since = max((i for i, e in enumerate(stack) if e.main), default=-1)
-            out.append((">".join(e.style for e in stack if e.tag not in INLINE), text, any(e.furniture for e in stack[since + 1 :]), since >= 0))
+            top = stack[-1] if stack else None
+            out.append(Block(top.path, text, top.mark == PLAIN, top.main, top.doubt) if top else Block(0, text, False, False, ()))
 
     def pop(depth: int) -> None:
-        if any(e.tag not in INLINE or e.furniture for e in stack[depth:]):
+        if any(e.tag not in INLINE or e.mark for e in stack[depth:]):
             flush()
+        for e in reversed(stack[depth:]):
+            if e.tag in MAIN:
+                open_tags.pop()
+            open_tags[-1][e.tag] -= 1
         del stack[depth:]
 
     at = 0
@@ -91,83 +156,93 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         tag = (found[3] or "").lower()
         if found[1] is not None:
             held.append(html.escape(found[1]))
-        elif not tag:
+        elif not tag or not found[5]:
             continue
         elif found[2]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == tag:
-                    pop(depth)
-                    break
-                if stack[depth].main and tag not in MAIN and tag not in ("body", "html"):
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+            if open_tags[-1][tag] or (tag in MAIN or tag in ("body", "html")) and any(c[tag] for c in open_tags):
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                pop(depth)
+            elif tag not in INLINE:
+                flush()
         elif tag in _ENDS:
-            end = _ENDS[tag].search(page, at)
-            if tag not in ("textarea", "title") and not found[4].rstrip().endswith("/"):
+            if not found[4].rstrip().endswith("/") or tag in ("textarea", "title"):
+                end = _ENDS[tag].search(page, at)
                 at = end.end() if end else len(page)
-            elif end:
-                at = end.end()
             if tag not in INLINE:
                 flush()
         elif tag in VOID:
             if tag not in INLINE:
                 flush()
         else:
-            element = _Element(tag, found[4])
-            if tag not in INLINE or element.furniture:
+            closed = _CLOSED_BY.get(tag, () if tag in INLINE else INLINE | {"p"})
+            depth = len(stack)
+            while depth and stack[depth - 1].tag in closed and not (stack[depth - 1].mark and stack[depth - 1].tag in INLINE):
+                depth -= 1
+            if tag not in INLINE:
                 flush()
-                closed = _CLOSED_BY.get(tag, set() if tag in INLINE else INLINE | {"p"})
-                depth = len(stack)
-                while depth and stack[depth - 1].tag in closed and not stack[depth - 1].furniture:
-                    depth -= 1
                 pop(depth)
+            element = _Element(tag, found[4], stack[-1] if stack else None)
+            if tag in INLINE and element.mark and not (stack and stack[-1].mark == PLAIN):
+                flush()
             stack.append(element)
+            open_tags[-1][tag] += 1
+            if tag in MAIN:
+                open_tags.append(Counter())
             if found[4].endswith("/"):
                 pop(len(stack) - 1)
     flush()
     return out
 
 
-def main_text(page: str | None, low: set[str]) -> str:
-    """The page without the branches of low importance."""
+def main_text(page: str | None, low: set[int]) -> str:
+    """The page without its plain furniture and the branches of low importance."""
     found = blocks(page or "")
-    if any(inside for *_, inside in found):
-        found = [b for b in found if b[3]]
-    kept = [text for path, text, furniture, _ in found if not furniture and path not in low]
-    return " ".join(kept)
+    if any(b.main for b in found):
+        found = [b for b in found if b.main]
+    return " ".join(b.text for b in found if not b.plain and b.path not in low and not any(-d in low for d in b.doubt))
+
+
+def _nodes(page: str) -> Iterator[tuple[int, int]]:
+    """Of each node outside plain furniture, its number and a digest of what the page has there: contents under the path, builds of doubtful branches
+    under its negative."""
+    texts: dict[int, list[str]] = {}
+    builds: dict[int, list[str]] = {}
+    for b in blocks(page):
+        if not b.plain:
+            texts.setdefault(b.path, []).append(b.text)
+            for d in b.doubt:
+                builds.setdefault(-d, []).append(str(b.path))
+    for found in (texts, builds):
+        for node, parts in found.items():
+            yield node, _digest("\n".join(parts))
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """Of ``host, html``: paths of each host whose content importance is below the least."""
+    """Of ``host, html``: the nodes of each host whose importance is below the least (by content, or negative ones by presentation)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "html"):
-            hosts, paths, contents, copies = [], [], [], []
+            hosts, nodes, contents, copies = [], [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                by_path: dict[str, list[str]] = {}
-                for path, text, furniture, _ in blocks(page):
-                    if not furniture:
-                        by_path.setdefault(path, []).append(text)
                 whole = _digest(page)
-                for path, texts in by_path.items():
+                for node, content in _nodes(page):
                     hosts.append(host)
-                    paths.append(path)
-                    contents.append(_digest("\n".join(texts)))
+                    nodes.append(node)
+                    contents.append(content)
                     copies.append(whole)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(contents, pa.int64()), pa.array(copies, pa.int64())], ["host", "path", "content", "page"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(contents, pa.int64()), pa.array(copies, pa.int64())], ["host", "path", "content", "page"])
 
-    seen = pages.where("host is not null and html is not null").mapInArrow(run, "host string, path string, content long, page long").distinct()
+    seen = pages.where("host is not null and html is not null").mapInArrow(run, "host string, path long, content long, page long").distinct()
     spread = seen.groupBy("host", "path", "content").agg(F.count("*").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = 1 - F.col("s") / (F.col("m") * F.log("m"))
     return spread.where(F.col("m") >= MIN_PAGES).where(entropy < LEAST).select("host", "path")
 
 
 def _digest(text: str) -> int:
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
+    """A positive number of 63 bits."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 | 1
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -189,6 +189,48 @@ def test_pages(spark):
     assert site_style.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    *[(f'<div class="{c}">kept</div>', "kept") for c in ("content-related", "form-group", "social-science", "comment-policy article", "post-header", "plain")],
+    *[(f'<div class="{c}">cut</div>', "") for c in ("ad", "x ads", "site-footer", "mainNav", "ad-slot", "comment-list", "page-header", "related-posts", "cookie_banner")],
+    ('<div id=comments>cut</div><p role=search>cut</p><p hidden>cut<p title="a > b">kept', "kept"), ('<p title="x>cut', ""), ("a < b <3 </ x> c", "a < b <3 c"), ("<p a=b\"c>kept</p>", "kept"),
+    ("one<title>cut", "one"), ("one<script>cut</p>", "one"), ("one<!-- cut", "one"), ("one<p cut", "one"), ("<article>one</div><p>two</article>cut", "one two"), ("<div><article>a</div>b</article>", "a b"),
+])
+def test_page_parts(page, want):
+    assert site_style.main_text(page, set()) == want
+
+
+@pytest.mark.parametrize("part", ["<a ", "<title>", "<div>x", "<!--", "<![CDATA[", "<i>x</b>", '<p a="', "<li>", "<div class=form-group>x", "<article>x", "</p", "&", '<p a="b" ', "<svg>"])
+def test_pages_take_linear_time(part):
+    import time
+
+    begin = time.perf_counter()
+    site_style.main_text(part * 40_000, {1})
+    assert time.perf_counter() - begin < 8
+
+
+def test_style_tree(spark):
+    """Contents and builds of nodes against their entropies, computed page by page."""
+    rng = random.Random(3)
+    pages = []
+    for i in range(120):
+        own = "".join(f"<p>{i} {k}</p>" for k in range(rng.randrange(1, 9)))
+        pages.append((f"h{i % 3}", f"<div class=note>same</div><div class=form-group>{own if i % 3 else '<p>' + str(i)}</div><div class=x>{'same' if i % 30 else i}</div><b>{i // 60}</b>"))
+    df = spark.createDataFrame(pages + pages[:50] + [(None, pages[0][1]), ("h0", None)], "host string, html string")
+    seen = defaultdict(Counter)
+    for host, page in pages:
+        for node, content in site_style._nodes(page):
+            seen[host, node][content] += 1
+    want = set()
+    for key, contents in seen.items():
+        m = sum(contents.values())
+        if m >= site_style.MIN_PAGES and -sum(n / m * math.log(n / m) for n in contents.values()) / math.log(m) < site_style.LEAST:
+            want.add(key)
+    got = {(r.host, r.path) for r in site_style.low_branches(df).collect()}
+    assert got == want and any(n < 0 for _, n in got) and {h for h, n in got if n < 0} == {"h0"}
+    low = {h: {n for k, n in got if k == h} for h in ("h0", "h1")}
+    assert site_style.main_text(pages[3][1], low["h0"]) == "same 0" and site_style.main_text(pages[4][1], low["h1"]).startswith("4 0 ")
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(7)
     vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 9)) * rng.exponential(size=(700, 1)))] + [(700 + i, [0.5] * 9) for i in range(12)]
