@@ -1,15 +1,17 @@
 """Operator 8: toxicity of whole texts after noisy-channel deobfuscation.
 
-* Character model: Spark counts letter 4-grams over all texts (letters a-z, one class for all other letters, one mark for a word's ends).
-* Channel: runs of at most 48 characters that look disguised (signs or digits within letters, single letters spaced out, a letter three
-  times or more; longer ones are keys or hashes and stay as they are) become a lattice
-  of readings for each character: itself, letters it stands for, a repetition to collapse, a sign to skip. Viterbi decoding finds the reading
-  that the character model and the channel's fixed costs make likeliest.
+* Character model: Spark counts letter 4-grams over all texts (letters a-z, one class for all other letters, one mark for a word's ends); each text begins
+  after and ends with a mark, so the counts do not depend on how the texts are split over tasks.
+* Channel: runs that look disguised (signs or digits within letters, single letters spaced out, a letter three times or more) become a lattice
+  of readings for each character: itself, letters it stands for, a repetition to collapse, a sign to skip. Viterbi decoding, over all states, finds the
+  reading that the character model and the channel's fixed costs make likeliest. A letter repeated more than three times counts as three. Spaced or
+  dotted runs of more than ``LONG_RUN`` characters, whatever their length, are no single word: there a separator can also be read as a word's end. Other tokens
+  that stay longer than that have no separators and are no words but keys or hashes; they stay as they are.
 * Score: words of the restored text and their first four and five letters have an evidence, the smoothed log ratio of their shares among toxic
   and other documents. A logistic regression on a document's strongest evidence, the sum of its three strongest, and its length gives the score.
 
-Evidence and regression are fitted on a bounded sample of labelled rows, ``sample`` of each class in order of a hash of their ids; rows whose
-crc32 of the id leaves 0 modulo ``folds`` are never used.
+Evidence and regression are fitted on a bounded sample of labelled rows, ``sample`` of each class in order of a hash of their ids, and the model keeps
+the ``terms`` strongest words and beginnings; rows whose crc32 of the id leaves 0 modulo ``folds`` are never used.
 
 Cases: null and empty texts score as texts without words; conflicting labels of one id count as toxic; null labels and ids are not learned
 from, and a null id counts as held out; if one class is missing, every score is 0; other columns and other languages need no care.
@@ -44,8 +46,11 @@ _DISGUISED = re.compile(
     r"|[a-z](?:[.\-_][a-z]){2,}(?![^\W_]))"  # d.o.t.t.e.d
 )
 _SPACED = re.compile(rf"[\W_]((?:[a-z{_SIGNS}][ .\-_*]{{1,3}}){{2,}}[a-z{_SIGNS}](?![^\W_]))")  # s p a c e d
-_LONGEST = 48  # a longer run is no disguised word but a key or a hash; it stays as it is
-_COST = {"itself": 0.0, "sign": 0.5, "skip": 0.3, "repeat": 0.4, "double": 1.2}
+_DOTTED = re.compile(r"(?<![a-z])[a-z](?:[.\-_]+[a-z](?![a-z]))+")
+_REPEATED = re.compile(r"([a-z])\1{3,}")
+LONG_RUN = 48  # no word is written in more characters, once repetitions are cut to three
+TERMS = 1 << 16
+_COST = {"itself": 0.0, "sign": 0.5, "skip": 0.3, "repeat": 0.4, "double": 1.2, "end": 0.3}
 
 
 def letter_counts(docs: DataFrame) -> np.ndarray:
@@ -55,12 +60,16 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(_SIZE, np.int64)
         for batch in chunked(batches, "text"):
             data, at = text_buffer(batch.column("text"))
+            sizes = np.diff(at)
             code = _CLASSES[LOWER[data]]
             code[code == 29] = 0
-            line = np.zeros(len(code) + 4, np.int64)
-            line[3:-1] = code
-            grams = line[:-3] << 15 | line[1:-2] << 10 | line[2:-1] << 5 | line[3:]
-            total += np.bincount(grams, minlength=_SIZE)
+            line = np.zeros(len(code) + 3 * len(sizes) + 3, np.int64)  # three marks before each text; the first of the next ones ends it
+            place = np.arange(len(code)) + 3 * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+            line[place] = code
+            last = at[1:][sizes > 0] + 3 * np.arange(1, len(sizes) + 1)[sizes > 0]
+            for counted in (place, last):
+                grams = line[counted - 3] << 15 | line[counted - 2] << 10 | line[counted - 1] << 5 | line[counted]
+                total += np.bincount(grams, minlength=_SIZE)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
 
@@ -81,9 +90,10 @@ def letter_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log2(np.maximum(chance, 1e-12)).reshape(-1)
 
 
-def decode(run: str, costs: Sequence[float], collapse: bool = True) -> str:
-    """The likeliest reading of a disguised run: the best path through the lattice of its characters' readings; with repetitions collapsed or not."""
-    beams: dict[int, tuple[float, str]] = {0: (0.0, "")}  # the three letters before: cost, letters
+def decode(run: str, costs: Sequence[float], collapse: bool = True, ends: bool = False) -> str:
+    """The likeliest reading of a disguised run: the best path through the lattice of its characters' readings; with repetitions collapsed or not, and with
+    ``ends`` also reading separators as word ends (spaces). A state is the three letters before, so there are as many as three characters have readings."""
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # its least cost, and the letters read, last first
     last = ""
     for char in run:
         again = collapse and char == last
@@ -92,24 +102,29 @@ def decode(run: str, costs: Sequence[float], collapse: bool = True) -> str:
         stays = [_COST["repeat"]] if again else []
         if not char.isalpha():
             stays.append(_COST["skip"] + (2.5 if options else 0))
+            if ends and not options:
+                options.append((0, " ", _COST["end"]))
         stay = min(stays, default=None)
-        following: dict[int, tuple[float, str]] = {}
-        for before, (cost, letters) in beams.items():
+        following: dict[int, tuple[float, tuple | None]] = {}
+        for before, (cost, letters) in states.items():
             for code, letter, extra in options:
                 place = before << 5 | code
                 value = cost + extra + costs[place]
                 held = following.get(place & 0x7FFF)
                 if held is None or value < held[0]:
-                    following[place & 0x7FFF] = value, letters + letter
+                    following[place & 0x7FFF] = value, (letters, letter)
             if stay is not None:
                 held = following.get(before)
                 if held is None or cost + stay < held[0]:
                     following[before] = cost + stay, letters
-        if len(following) > 64:
-            following = dict(sorted(following.items(), key=lambda b: b[1][0])[:64])
         if following:
-            beams, last = following, char
-    return min((cost + costs[before << 5], letters) for before, (cost, letters) in beams.items())[1]
+            states, last = following, char
+    best = min(states.items(), key=lambda s: s[1][0] + costs[s[0] << 5])[1][1]
+    out = []
+    while best is not None:
+        best, letter = best
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -119,8 +134,9 @@ class Restorer:
         self.costs, self.known, self.tokens = memoryview(np.ascontiguousarray(costs, np.float64)), {}, {}
 
     def readings(self, run: str) -> set[str]:
-        if len(run) > _LONGEST:
-            return set()
+        run = _REPEATED.sub(r"\1\1\1", run)
+        if len(run) > LONG_RUN:
+            return {w for collapse in (True, False) for w in decode(run, self.costs, collapse, ends=True).split()}
         if run not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
@@ -131,9 +147,13 @@ class Restorer:
 
     def _token(self, token: str) -> tuple[str, ...]:
         found = set(_WORD.findall(token))
-        for piece in _PIECE.findall(token):
-            for part in [piece] if len(piece) <= _LONGEST else re.split(r"[.\-_]+", piece):
-                if len(part) <= _LONGEST:
+        for piece in _PIECE.findall(_REPEATED.sub(r"\1\1\1", token)):
+            if len(piece) > LONG_RUN:
+                for match in _DOTTED.finditer(piece):
+                    if len(match[0]) > LONG_RUN:
+                        found |= self.readings(match[0])
+            for part in [piece] if len(piece) <= LONG_RUN else re.split(r"[.\-_]+", piece):
+                if len(part) <= LONG_RUN:
                     for match in _DISGUISED.finditer(part):
                         found |= self.readings(match[0])
         return tuple(found)
@@ -144,7 +164,7 @@ class Restorer:
             words = tokens.get(token)
             if words is None:
                 words = self._token(token)
-                if len(token) <= 2 * _LONGEST:
+                if len(token) <= 2 * LONG_RUN:
                     if len(tokens) > 200_000:
                         tokens.clear()
                     tokens[token] = words
@@ -191,8 +211,8 @@ def _sample(docs: DataFrame, labels: DataFrame, folds: int, sample: int) -> Data
     return stage(docs.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "text", "label"), "labelled")  # 2 * sample rows are broadcast
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, folds: int = 5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """The model: character costs, evidence by word or beginning (65,536 strongest at most), weights of the regression."""
+def learn(docs: DataFrame, labels: DataFrame, *, folds: int = 5, sample: int = SAMPLE, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
+    """The model: character costs, evidence by word or beginning (the ``terms`` strongest), weights of the regression."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     costs = letter_costs(letter_counts(docs))
@@ -217,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, folds: int = 5, sample: int = S
     keys = labelled.mapInPandas(count, "key string, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     least = F.col("toxic") - F.sqrt("toxic")  # a few chance occurrences prove little
     ratio = F.log((least + 0.25) / sizes[1]) - F.log((F.col("clean") + 0.5) / sizes[0])
-    strong = keys.where("toxic >= 3").withColumn("evidence", ratio).where("evidence > 0.5").orderBy(F.desc("evidence"), "key").limit(1 << 16)
+    strong = keys.where("toxic >= 3").withColumn("evidence", ratio).where("evidence > 0.5").orderBy(F.desc("evidence"), "key").limit(terms)
     evidence = {r["key"]: r["evidence"] for r in strong.collect()}
     model = {"costs": costs, "evidence": evidence, "weights": None}
     shared_model = spark.sparkContext.broadcast(model)

@@ -260,6 +260,57 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.learn(docs, labels.where("toxic = 0"))).where("score <> 0").count() == 0
 
 
+def test_letter_counts_do_not_depend_on_the_split(spark):
+    rows = [(i, t) for i, t in enumerate(["Abc de", "", None, "é x", "zz top 9", "a", " b "] * 30)]
+    want = Counter()
+    for _, text in rows:
+        codes = [0, 0, 0, *[c - 96 if 97 <= c <= 122 else 27 if c > 127 else 0 for c in (text or "").lower().encode()], *([0] if text else [])]
+        want.update(tuple(codes[i - 3 : i + 1]) for i in range(3, len(codes)))
+    for parts in (1, 5, 60):
+        counts = toxicity.letter_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        assert {g: int(counts[g[0] << 15 | g[1] << 10 | g[2] << 5 | g[3]]) for g in want} == want and counts.sum() == sum(want.values())
+
+
+@pytest.mark.parametrize("ends", [False, True])
+def test_decode_against_all_readings(ends):
+    rng = np.random.default_rng(5)
+    costs = rng.exponential(3, 32**4)
+
+    def paths(run, last="", at=0, before=(0, 0, 0), letters="", cost=0.0):
+        code = lambda b, c: b[0] << 15 | b[1] << 10 | b[2] << 5 | c
+        if at == len(run):
+            yield cost + costs[code(before, 0)], letters
+            return
+        char, extra = run[at], toxicity._COST["double"] if collapse and run[at] == last else 0
+        read = [(c, extra) for c in char if c.isalpha()] + [(c, extra + toxicity._COST["sign"]) for c in toxicity.READINGS.get(char, "")]
+        stays = [toxicity._COST["repeat"]] if extra else []
+        if not char.isalpha():
+            stays.append(toxicity._COST["skip"] + (2.5 if read else 0))
+            read += [(" ", toxicity._COST["end"])] if ends and not read else []
+        for c, more in read:
+            k = 0 if c == " " else ord(c) - 96
+            yield from paths(run, char, at + 1, (*before[1:], k), letters + c, cost + more + costs[code(before, k)])
+        if stays:
+            yield from paths(run, char, at + 1, before, letters, cost + min(stays))
+
+    for run in ("1d10t", "****", "m.o-r_o n", "iiidd", "@$!1", "f**k", "a  b", "*1*1*", "x"):
+        for collapse in (True, False):
+            assert toxicity.decode(run, costs, collapse, ends) == min(paths(run))[1]
+
+
+def test_long_disguises(spark):
+    rng = random.Random(1)
+    plain = ["house", "river", "stone", "green", "water", "letter", "window", "garden", "moment", "paper"]
+    rows = [(i, " ".join(rng.choices(plain, k=30) + (["idiot", "moron"] if i % 4 == 0 else []))) for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    spaced, clean = ("river stone water green moron house paper garden idiot window letter", "river stone water green house paper garden window letter")
+    tests = [(1, "  ".join(" ".join(w) for w in spaced.split())), (2, ".".join(spaced.replace(" ", ""))), (3, "i" * 70 + "d" * 50 + "iot"), (4, " ".join(clean.replace(" ", ""))),
+             (5, "ab12" * 5000), (6, "1" * 50_000), (7, "a." * 3000)]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0, 7: 0}
+
+
 def test_perplexity(spark):
     rng = random.Random(2)
     rows = [(100 + i, " ".join(rng.choices("abcdefgh", weights=range(1, 9), k=rng.randrange(0, 400))).title()) for i in range(60)] + ODD
