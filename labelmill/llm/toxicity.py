@@ -47,6 +47,7 @@ _DISGUISED = re.compile(
 )
 _SPACED = re.compile(rf"[\W_]((?:[a-z{_SIGNS}][ .\-_*]{{1,3}}){{2,}}[a-z{_SIGNS}](?![^\W_]))")  # s p a c e d
 _DOTTED = re.compile(r"(?<![a-z])[a-z](?:[.\-_]+[a-z](?![a-z]))+")
+_TRIPLE = re.compile(r"([a-z])\1\1")
 _REPEATED = re.compile(r"([a-z])\1{3,}")
 LONG_RUN = 48  # no word is written in more characters, once repetitions are cut to three
 TERMS = 1 << 16
@@ -146,6 +147,8 @@ class Restorer:
         return self.known[run]
 
     def _token(self, token: str) -> tuple[str, ...]:
+        if token.isalpha() and not _TRIPLE.search(token):
+            return (token,)
         found = set(_WORD.findall(token))
         for piece in _PIECE.findall(_REPEATED.sub(r"\1\1\1", token)):
             if len(piece) > LONG_RUN:
