@@ -20,6 +20,7 @@ from labelmill.operators import merge as M
 from labelmill.operators import preflight as P
 from labelmill.operators import requests as Q
 from labelmill.operators import responses as R
+from labelmill.operators.row_store import open_rows, store_rows
 from labelmill.plans.labeler import Labeler
 from labelmill.plans.tables import (
     DOCUMENT_SPEC, EVENT_SPEC, QUALITY_SPEC, SYSTEM, document_responses, quality_responses, response_line, table,
@@ -31,7 +32,7 @@ from labelmill.sources.prices import MODEL_PRICES, price_table
 from labelmill.spec import LabelSpec, OutputField
 from labelmill.streaming import ingest as T
 from labelmill.streaming import progress as G
-from labelmill.streaming.rounds import ROUND, STREAM, add_round, compact, history
+from labelmill.streaming.rounds import ROUND, STREAM, add_round, compact, current, history
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -485,6 +486,22 @@ def union_rounds(spark: SparkSession, folder: str) -> DataFrame:
     return both.select(F.col("_row_id").alias("row_id"), "round", "chars")
 
 
+@query("""SELECT CAST(d.doc_id AS VARCHAR) AS row_id, a.n AS after, d.lang, CASE WHEN d.doc_id % 4 <= a.n THEN d.n_chars END AS chars
+    FROM documents d, (VALUES (0), (1), (2)) a(n)""")
+def merge_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows are stored once; after each of three rounds, all answers so far are merged with them. A row of the last quarter is never answered."""
+    docs, target = _documents(spark, folder), shared_dir(spark, "answers")
+    path = store_rows(I.id_from_column(docs.select("doc_id", "lang"), "doc_id", keep=False)).path
+    merged = []
+    for number in range(3):
+        text = F.when(F.col("doc_id") % 4 <= number, F.to_json(F.struct(F.col("n_chars").alias("chars")))).otherwise("none")
+        lines = docs.where(F.col("doc_id") % 4 >= number).select(response_line(encode_request_id(F.col("doc_id")), text).alias("value"))
+        add_round(R.parse_responses(lines, CHARS_SPEC), target, "asked", number)
+        answers = R.answers(current(history(spark, target)).drop(ROUND, STREAM), CHARS_SPEC)
+        merged.append(open_rows(spark, path).merge(answers).withColumn("after", F.lit(number)))
+    return M.union_rounds(*merged).select(F.col("_row_id").alias("row_id"), "after", "lang", "chars")
+
+
 # --- checks before a job ------------------------------------------------------------------------------------------------------
 
 

@@ -28,7 +28,7 @@ def test_query(spark, con, name):
     assert compare(spark, con, name, FOLDER, QUERIES, ORACLES) > 0
 
 
-@pytest.mark.parametrize("name", ["batch_list", "merge_hot", "batch_status", "batch_progress_logged", "stream_upsert", "stream_status"])
+@pytest.mark.parametrize("name", ["batch_list", "merge_hot", "merge_rounds", "batch_status", "batch_progress_logged", "stream_upsert", "stream_status"])
 def test_query_on_more_rows(spark, name):
     folder = "/root/testdata/sf0.01"
     assert compare(spark, connect(folder), name, folder, QUERIES, ORACLES) > 0
