@@ -48,6 +48,7 @@ _DISGUISED = re.compile(
 _SPACED = re.compile(rf"[\W_]((?:[a-z{_SIGNS}][ .\-_*]{{1,3}}){{2,}}[a-z{_SIGNS}](?![^\W_]))")  # s p a c e d
 _DOTTED = re.compile(r"(?<![a-z])[a-z](?:[.\-_]+[a-z](?![a-z]))+")
 _TRIPLE = re.compile(r"([a-z])\1\1")
+_POINTS = ".,;:?'\""  # around a word, these disguise nothing
 _REPEATED = re.compile(r"([a-z])\1{3,}")
 LONG_RUN = 48  # no word is written in more characters, once repetitions are cut to three
 TERMS = 1 << 16
@@ -133,6 +134,7 @@ class Restorer:
 
     def __init__(self, costs: np.ndarray):
         self.costs, self.known, self.tokens = memoryview(np.ascontiguousarray(costs, np.float64)), {}, {}
+        self.plain: set[str] = set()  # tokens that are words as they stand
 
     def readings(self, run: str) -> set[str]:
         run = _REPEATED.sub(r"\1\1\1", run)
@@ -147,8 +149,9 @@ class Restorer:
         return self.known[run]
 
     def _token(self, token: str) -> tuple[str, ...]:
-        if token.isalpha() and not _TRIPLE.search(token):
-            return (token,)
+        plain = token.strip(_POINTS)
+        if plain.isalpha() and not _TRIPLE.search(plain):
+            return (plain,)
         found = set(_WORD.findall(token))
         for piece in _PIECE.findall(_REPEATED.sub(r"\1\1\1", token)):
             if len(piece) > LONG_RUN:
@@ -162,15 +165,21 @@ class Restorer:
         return tuple(found)
 
     def words(self, text: str) -> set[str]:
-        low, tokens, found = text.lower(), self.tokens, set()
-        for token in set(low.split()):
+        low, tokens = text.lower(), self.tokens
+        distinct = set(low.split())
+        found = distinct & self.plain
+        for token in distinct - found:
             words = tokens.get(token)
             if words is None:
                 words = self._token(token)
                 if len(token) <= 2 * LONG_RUN:
-                    if len(tokens) > 200_000:
+                    if len(tokens) + len(self.plain) > 400_000:
                         tokens.clear()
-                    tokens[token] = words
+                        self.plain.clear()
+                    if words == (token,):
+                        self.plain.add(token)
+                    else:
+                        tokens[token] = words
             found.update(words)
         for match in _SPACED.finditer(" " + low):
             found |= self.readings(match[1])
@@ -191,21 +200,27 @@ class Evidence:
         return model["judge"]
 
     def __init__(self, model: dict):
-        self.restorer, self.table, self.words = Restorer(model["costs"]), model["evidence"], {}
+        self.restorer, self.table = Restorer(model["costs"]), model["evidence"]
+        self.strong: dict[str, float] = {}
+        self.weak: set[str] = set()
 
     def features(self, text: str | None) -> tuple[float, float, float]:
-        words, known, table = self.restorer.words(text or ""), self.words, self.table
-        if len(known) > 500_000:
-            known.clear()
-        strong = []
-        for word in words:
-            value = known.get(word)
+        words, table = self.restorer.words(text or ""), self.table
+        if len(self.weak) + len(self.strong) > 500_000:
+            self.weak.clear()
+            self.strong.clear()
+        rest, values = words - self.weak, []
+        for word in rest:
+            value = self.strong.get(word)
             if value is None:
-                value = known[word] = max([table.get(key, 0.0) for key in _keys(word)])
-            if value > 0:
-                strong.append(value)
-        strong.sort(reverse=True)
-        return strong[0] if strong else 0.0, sum(strong[:3]), float(np.log1p(len(words)))
+                value = max([table.get(key, 0.0) for key in _keys(word)])
+                if value <= 0:
+                    self.weak.add(word)
+                    continue
+                self.strong[word] = value
+            values.append(value)
+        values.sort(reverse=True)
+        return values[0] if values else 0.0, sum(values[:3]), float(np.log1p(len(words)))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, folds: int, sample: int) -> DataFrame:
