@@ -6,7 +6,7 @@ A line's tokens are its runs between blanks; a token with a digit is a variable
 in common.
 
 A template recurs if at least ``min_docs`` different documents hold it. Its first occurrence (least id, then line) stays, and every other line
-under it is dropped. Lines of fewer than ``MIN_TOKENS`` tokens are not looked at.
+under it is dropped. Every line that has a token is looked at, however short.
 
 Cases: null texts stay null and have no lines; blank lines stay; rows with equal id and text are one document and share its result; a null id
 comes first; an empty table gives no rows; other columns are kept by ``drop_recurring`` and not read.
@@ -19,18 +19,18 @@ from pyspark.sql import functions as F
 
 from labelmill.llm.common import stage
 
-DEPTH, LONG, MIN_TOKENS, MIN_DOCS = 3, 12, 3, 3
+DEPTH, LONG, MIN_DOCS = 3, 12, 3
 _DOC = ["_id", "_hash"]
 
 
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id, _hash, line, leaf, key``: every template of every line that is looked at, as the hashes of its leaf and of what it fixes there."""
+    """``_id, _hash, line, leaf, key``: every template of every line, as the hashes of its leaf and of what it fixes there."""
     text = F.col(f"`{text_col}`")
     lines = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(F.split(text, "\n")).alias("line", "body"))
     tokens = F.array_remove(F.split("body", r"[ \t\r]+"), "")
     masked = F.when(F.col("body").rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(tokens)
     # As the output of a generator, tokens are computed once, however often they are used below.
-    rows = lines.select(*_DOC, "line", F.explode(F.array(masked)).alias("t")).withColumn("n", F.size("t")).where(F.col("n") >= MIN_TOKENS)
+    rows = lines.select(*_DOC, "line", F.explode(F.array(masked)).alias("t")).withColumn("n", F.size("t")).where(F.col("n") > 0)
     third = F.ceil((F.col("n") - DEPTH) / 3).cast("int")
     parts = [F.xxhash64(F.slice("t", DEPTH + 1 + k * third, third)).alias(f"p{k}") for k in range(3)]
     # Again once only, and in little generated code: large methods are not compiled.

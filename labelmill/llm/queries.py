@@ -106,7 +106,7 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
     WITH lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS body, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents),
     tokens AS (SELECT doc_id, line, body, list_filter(regexp_split_to_array(regexp_replace(body, '[^ \\t\\r]*[0-9][^ \\t\\r]*', '<*>', 'g'), '[ \\t\\r]+'), lambda x: x <> '') AS t FROM lines),
-    parts AS (SELECT doc_id, line, t, len(t) AS n, CAST(ceil((len(t) - 3) / 3) AS BIGINT) AS third FROM tokens WHERE len(t) >= 3),
+    parts AS (SELECT doc_id, line, t, len(t) AS n, CAST(ceil((len(t) - 3) / 3) AS BIGINT) AS third FROM tokens WHERE len(t) > 0),
     keyed AS (
         SELECT doc_id, line, unnest(CASE WHEN n >= 12 THEN [{'k': 0, 'n': n, 'v': t}, {'k': 1, 'n': n, 'v': t[1:3] || ['|'] || t[4 + third:]},
                     {'k': 2, 'n': n, 'v': t[1:3 + third] || ['|'] || t[4 + 2 * third:]}, {'k': 3, 'n': n, 'v': t[1:3 + 2 * third]}] ELSE [{'k': 0, 'n': n, 'v': t}] END) AS key FROM parts),

@@ -171,6 +171,13 @@ def test_lines(spark):
     assert line_templates.drop_recurring(table(spark, [])).count() == 0
 
 
+def test_short_lines(spark):
+    rows = [(i, f"Next\nSee {i}\nown word{chr(97 + i)}\n \n") for i in range(3)] + [(3, "Next"), (4, "once"), (5, "once")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_recurring(table(spark, rows)).collect()}
+    assert got[0] == (rows[0][1], 0) and got[2] == ("own wordc\n \n", 2)
+    assert got[3] == ("", 1) and got[4] == got[5] == ("once", 0)
+
+
 PAGE = """<html><head><title>No</title><script>if (a<b) document.write("</p><p>no")</script></head><body class=x><header><h1>Site</h1></header>
 <nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use</div><article><h1>Head &amp; line</h1><p>One <b>bold
 word<p>Two&nbsp;&eacute; <a href="#">link</a>s<div class="ad">Buy</div><ul><li>three<li>four</ul><form><input>Send</form></article>
