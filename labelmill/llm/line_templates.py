@@ -24,7 +24,7 @@ _DOC = ["_id", "_hash"]
 
 
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id, _hash, line, leaf, key``: every template of every line, as the hashes of its leaf and of what it fixes there."""
+    """``_id, _hash, line, leaf, key``: every template of every line, as the hashes of its leaf (32 bits) and of what it fixes there (64 bits)."""
     text = F.col(f"`{text_col}`")
     lines = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(F.split(text, "\n")).alias("line", "body"))
     tokens = F.array_remove(F.split("body", r"[ \t\r]+"), "")
@@ -34,7 +34,7 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     third = F.ceil((F.col("n") - DEPTH) / 3).cast("int")
     parts = [F.xxhash64(F.slice("t", DEPTH + 1 + k * third, third)).alias(f"p{k}") for k in range(3)]
     # Again once only, and in little generated code: large methods are not compiled.
-    hashed = rows.select(*_DOC, "line", "n", F.explode(F.array(F.struct(F.xxhash64("n", F.slice("t", 1, DEPTH)).alias("leaf"), F.xxhash64("t").alias("whole"), *parts))).alias("h"))
+    hashed = rows.select(*_DOC, "line", "n", F.explode(F.array(F.struct(F.hash("n", F.slice("t", 1, DEPTH)).alias("leaf"), F.xxhash64("t").alias("whole"), *parts))).alias("h"))
     open_parts = [F.xxhash64(F.lit(k), *[f"h.p{j}" for j in range(3) if j != k]) for k in range(3)]
     own = F.array("h.whole")
     keys = F.when(F.col("n") >= LONG, F.array("h.whole", *open_parts)).otherwise(own)
