@@ -1,10 +1,10 @@
 """Delimited files: separator sniffing, reading, writing.
 
 Files whose cells may hold line breaks are read in blocks, like any text, by many tasks (``_records``): whether a line begins inside a quoted
-cell depends only on how many quotes stand before it in its file, odd or even. A first pass over the lines finds, for each block, whether
-its quotes are odd, and how many records begin in it if it begins outside or inside of a cell; sums over a file's blocks, one narrow row each, then
-say how every block begins and how many records precede it. A second pass numbers the records, and lines of one record that are
-more than one are put together again, across blocks too.
+cell depends only on how many lines with an odd number of quotes stand before it in its file, odd or even. A first pass over the lines counts
+these by block; sums over a file's blocks, one narrow row each, say how many precede every block. Within a block they are counted as the lines are
+read (``_lines``), so that no line moves. A second pass parses every record of one line where it lies; only the lines of records that are more
+than one are put together again, across blocks too.
 """
 
 from __future__ import annotations
@@ -32,6 +32,11 @@ _READING = _QUOTING | {"nullValue": "\ue000"}
 # Headers differ by separator and quotes at most; more are no table.
 _MOST_HEADERS = 100
 
+# Spark's parser fails on records with more cells.
+_MOST_CELLS = 20480
+
+_SPLIT_ANEW = "The files were split for tasks in another way than when they were opened; keep spark.sql.files.* and set spark.sql.files.minPartitionNum"
+
 # Inference takes date-like cells as text: no cell can match this format.
 _NO_DATES = {"preferDate": False, "timestampFormat": "'never'yyyy"}
 
@@ -84,44 +89,89 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, schem
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """All lines with their file, block and place in it, whether their quotes are odd and whether they are empty. A carriage return stays at the end."""
+    """All lines with their file, block and place, whether their quotes are odd and whether they are empty, and the number of odd lines before
+    them in their task. A carriage return stays at the end."""
     text = F.col("value")
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.when(F.col("_metadata.file_block_start") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(text).alias("value"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return lines.select("*", (quotes % 2).alias("odd"), F.col("value").isin("", "\r").alias("empty"))
+    judged = lines.select("*", (quotes % 2).alias("odd"), F.col("value").isin("", "\r").alias("empty"))
+    # An odd line stands twice here, so that each one moves the places of all later lines of its task by one more.
+    copies = judged.select("*", F.explode(F.when(F.col("odd") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    return copies.withColumn("odds", F.monotonically_increasing_id() - F.col("at")).where("copy = 0").drop("copy")
+
+
+def _staged(df: DataFrame, purpose: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _blocks(lines: DataFrame) -> DataFrame:
-    """``file, block, inside, before, header``: how each block begins (1: inside a cell), how many records begin before it, and the first line
-    of each file's first block. Written, as both passes and the driver read it."""
-    ahead = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    parity = (F.coalesce(F.sum("odd").over(ahead), F.lit(0)) % 2).alias("parity")
-    narrow = lines.select("file", "block", "at", "odd", "empty").select("*", parity)
-    begins = [F.count_if(~F.col("empty") & (F.col("parity") == k)).alias(f"begin{k}") for k in (0, 1)]
-    counted = narrow.groupBy("file", "block").agg((F.sum("odd") % 2).alias("odd"), *begins)
-    first = lines.where("block = 0 and not empty").groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = counted.withColumn("inside", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
-    began = F.when(F.col("inside") == 0, F.col("begin0")).otherwise(F.col("begin1"))
-    placed = inside.withColumn("before", F.coalesce(F.sum(began).over(earlier), F.lit(0))).join(first, "file").select("file", "block", "inside", "before", "header")
-    path = shared_dir(lines.sparkSession, "blocks")
-    placed.write.parquet(path)
-    return lines.sparkSession.read.schema(placed.schema).parquet(path)
-
-
-def _records(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``file, header, number, record``: every record with its number in its file, from 1, the header's."""
-    ahead = Window.partitionBy("file", "block").orderBy("at")
-    inside = (F.col("inside") + F.coalesce(F.sum("odd").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2
-    opened = lines.join(blocks, ["file", "block"]).withColumn("inside", inside).where(~(F.col("empty") & (F.col("inside") == 0)))
-    number = F.col("before") + F.sum(1 - F.col("inside")).over(ahead.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = opened.select("file", "header", number.alias("number"), "block", "at", "value", ((F.col("inside") == 0) & (F.col("odd") == 0)).alias("alone"))
+    """``file, block, odd_lines, earlier``: how many odd lines each block has, and those before it in its file; ``first, last, least, most``: the range
+    of its lines' ``at`` and ``odds``; ``head, header``: place and text of the first line of each file's first block, null if it has none. Written, as both
+    passes and the driver read it."""
+    counted = lines.groupBy("file", "block").agg(
+        F.sum("odd").alias("odd_lines"), F.min("at").alias("first"), F.max("at").alias("last"), F.min("odds").alias("least"), F.max("odds").alias("most"),
+        F.min(F.when((F.col("block") == 0) & ~F.col("empty"), F.col("at"))).alias("head"))
+    earlier = F.sum("odd_lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counted.withColumn("earlier", F.coalesce(earlier, F.lit(0))).withColumn("head", F.max("head").over(Window.partitionBy("file")))
+    blocks = _staged(placed, "blocks")
+    headers = lines.join(blocks.where("block = 0").select("head"), F.col("at") == F.col("head")).select("head", F.col("value").alias("header"))
+    return _staged(blocks.join(headers, "head", "left"), "blocks")
+
+
+class _Split(NamedTuple):
+    """The lines of the records below the headers, the number of odd ones, the separators that occur, and the columns' names."""
+
+    lines: DataFrame
+    odd_lines: int
+    seps: list[str]
+    names: list[str]
+
+
+def _split(spark: SparkSession, path: str, sep: str | None) -> _Split:
+    """``which`` is the place in ``seps`` of a line's separator; ``before``: the odd lines before it in its file. It begins inside a cell if they are odd."""
+    lines = _lines(spark, path)
+    blocks = _blocks(lines)
+    found = blocks.where("header is not null").groupBy("header").agg(F.sum("odd_lines").alias("odd_lines")).limit(_MOST_HEADERS + 1).collect()
+    if not found:
+        raise ValueError(f"No header at {path}")
+    if len(found) > _MOST_HEADERS:
+        raise ValueError(f"Files at {path} have more than {_MOST_HEADERS} different headers")
+    own = {r.header: sep or separator_of(r.header) for r in found}
+    names = {tuple(_names(h, s)) for h, s in own.items()}
+    if len(names) > 1:
+        raise ValueError(f"Files at {path} have different columns: {' | '.join(', '.join(n) for n in sorted(names)[:3])}")
+    seps = sorted(set(own.values()))
+    which = F.lit(0)
+    for i, other in enumerate(seps[1:], 1):
+        which = F.when(F.col("header").isin([h for h, s in own.items() if s == other]), i).otherwise(which)
+    # Tasks must read what they read in the first pass: else the first or the last line of some block is out of its range.
+    same = F.col("at").between(F.col("first"), F.col("last")) & F.col("odds").between(F.col("least"), F.col("most"))
+    before = F.when(~F.coalesce(same, F.lit(False)), F.raise_error(F.lit(_SPLIT_ANEW)).cast("bigint")).when(
+        F.col("header").isNotNull() & (F.col("at") != F.col("head")), F.col("earlier") + F.col("odds") - F.col("least"))
+    known = lines.join(blocks, ["file", "block"], "left").select("head", which.alias("which"), "block", "at", "value", "odd", "empty", before.alias("before"))
+    return _Split(known.where("before is not null and not (empty and before % 2 = 0)"), sum(r.odd_lines for r in found), seps, list(names.pop()))
+
+
+def _gathered(split: _Split, alone: Column, parts: Column) -> DataFrame:
+    """``which, record``: for every record of one line what ``alone`` says, for every other what the aggregate ``parts`` says. From one odd line to the next,
+    both included, is one record: the odd lines before it, halved, tell it from others of its file."""
+    single = (F.col("before") % 2 == 0) & (F.col("odd") == 0)
+    records = split.lines.where(single).select("which", alone.alias("record"))
+    if not split.odd_lines:
+        return records
+    joined = split.lines.where(~single).groupBy("head", "which", F.shiftright("before", 1).alias("pair")).agg(parts.alias("record"))
+    return records.unionByName(joined.select("which", "record"))
+
+
+def _records(split: _Split) -> DataFrame:
+    """``which, record``: every record below the headers as text."""
     parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))  # the lines of one record
-    joined = numbered.where("not alone").groupBy("file", "header", "number").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("record"))
-    both = numbered.where("alone").select("file", "header", "number", F.col("value").alias("record")).unionByName(joined)
-    return both.withColumn("record", F.regexp_replace("record", "\r$", ""))
+    texts = _gathered(split, F.col("value"), F.array_join(F.transform(parts, lambda p: p["value"]), "\n"))
+    return texts.withColumn("record", F.regexp_replace("record", "\r$", ""))
 
 
 def _names(header: str, sep: str) -> list[str]:
@@ -134,28 +184,18 @@ def _names(header: str, sep: str) -> list[str]:
 
 
 def _read_split(spark: SparkSession, path: str, sep: str | None, schema: T.StructType | str | None, id_column: str | None, sampling_ratio: float, infer: bool) -> DataFrame:
-    lines = _lines(spark, path)
-    blocks = _blocks(lines)
-    headers = [r.header for r in blocks.select("header").distinct().limit(_MOST_HEADERS + 1).collect()]
-    if not headers:
-        raise ValueError(f"No header at {path}")
-    if len(headers) > _MOST_HEADERS:
-        raise ValueError(f"Files at {path} have more than {_MOST_HEADERS} different headers")
-    seps = {h: sep or separator_of(h) for h in headers}
-    names = {tuple(_names(h, s)) for h, s in seps.items()}
-    if len(names) > 1:
-        raise ValueError(f"Files at {path} have different columns: {' | '.join(', '.join(n) for n in sorted(names)[:3])}")
-    records = _records(lines, blocks).where("number > 1")
-    texts = T.StructType([T.StructField(n, T.StringType()) for n in names.pop()])
+    split = _split(spark, path, sep)
+    records = _records(split)
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in split.names])
     if schema is not None:
-        return _parsed(records, seps, _schema(schema))
+        return _parsed(records, split.seps, _schema(schema))
     if not infer:
-        return _parsed(records, seps, texts)
-    cells = _parsed(records, seps, texts)
+        return _parsed(records, split.seps, texts)
+    cells = _parsed(records, split.seps, texts)
     sample = cells if sampling_ratio >= 1 else cells.sample(sampling_ratio, seed=1)
     found = sample.agg(*[_fits(F.col(f"`{n}`")).alias(str(i)) for i, n in enumerate(texts.names)]).first()
     types = [T.StringType() if n == id_column else next((t for t, ok in zip(_INFERRED, found[i], strict=True) if ok), T.StringType()) for i, n in enumerate(texts.names)]
-    return _parsed(records, seps, T.StructType([T.StructField(n, t) for n, t in zip(texts.names, types, strict=True)]))
+    return _parsed(records, split.seps, T.StructType([T.StructField(n, t) for n, t in zip(texts.names, types, strict=True)]))
 
 
 _INFERRED = (T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType())
@@ -172,7 +212,7 @@ def _schema(schema: T.StructType | str) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def _parsed(records: DataFrame, seps: dict[str, str], schema: T.StructType) -> DataFrame:
+def _parsed(records: DataFrame, seps: list[str], schema: T.StructType) -> DataFrame:
     """The cells of the records; each file's separator is that of its header."""
     options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in (_READING | _NO_DATES).items() if k != "header"}
     ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -180,10 +220,9 @@ def _parsed(records: DataFrame, seps: dict[str, str], schema: T.StructType) -> D
     def cells(sep: str) -> Column:
         return F.from_csv("record", ddl, options | {"sep": sep, "multiLine": "true"})
 
-    first, *others = sorted(set(seps.values()))
-    parsed = cells(first)
-    for sep in others:
-        parsed = F.when(F.col("header").isin([h for h, s in seps.items() if s == sep]), cells(sep)).otherwise(parsed)
+    parsed = cells(seps[0])
+    for i, sep in enumerate(seps[1:], 1):
+        parsed = F.when(F.col("which") == i, cells(sep)).otherwise(parsed)
     # The output of a generator: filters on cells stay above, so that each record is parsed once.
     return records.select(F.inline(F.array(parsed)))
 
@@ -201,14 +240,31 @@ class FileCheck(NamedTuple):
     columns: int
 
 
+def _counted(spark: SparkSession, path: str, sep: str | None) -> tuple[int, list[str]]:
+    """Number of records, names of columns. No cell is wanted, so every record is only counted, and its separators with it; a record that may have more cells than the
+    parser takes has all parsed, which fails if it does."""
+    split = _split(spark, path, sep)
+    marks = F.lit(0)
+    for i, own in enumerate(split.seps):
+        marks = F.when(F.col("which") == i, F.length("value") - F.length(F.replace("value", F.lit(own), F.lit("")))).otherwise(marks)
+    found = _gathered(split, marks.cast("bigint"), F.sum(marks)).agg(F.count("*").alias("rows"), F.max("record").alias("most")).first()
+    if (found.most or 0) >= _MOST_CELLS:
+        texts = T.StructType([T.StructField(n, T.StringType()) for n in split.names])
+        return _parsed(_records(split), split.seps, texts).count(), split.names
+    return found.rows, split.names
+
+
 def check_delimited(spark: SparkSession, path: str, required: Sequence[str], sep: str | None = None, multi_line: bool | str = True) -> FileCheck:
     """Tell whether files can be read and hold the required columns. No types are inferred."""
     try:
-        df = read_delimited(spark, path, sep, multi_line=multi_line, infer=False)
-        rows, columns = df.count(), len(df.columns)
+        if multi_line is True:
+            rows, names = _counted(spark, path, sep)
+        else:
+            df = read_delimited(spark, path, sep, multi_line=multi_line, infer=False)
+            rows, names = df.count(), df.columns
     except (PySparkException, ValueError) as e:
         return FileCheck(False, f"Cannot read the files: {str(e).splitlines()[0]}", 0, 0)
-    missing = [c for c in required if c not in df.columns]
+    missing = [c for c in required if c not in names]
     if missing:
-        return FileCheck(False, f"Missing columns: {', '.join(missing)}", rows, columns)
-    return FileCheck(True, "", rows, columns)
+        return FileCheck(False, f"Missing columns: {', '.join(missing)}", rows, len(names))
+    return FileCheck(True, "", rows, len(names))

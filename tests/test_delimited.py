@@ -98,6 +98,56 @@ def test_line_breaks_in_split_files(spark, tmp_path, small_blocks):
     assert "SinglePartition" not in plan and "Python" not in plan
 
 
+@pytest.mark.parametrize("most, pieces", [(4000, False), (500, True)])
+def test_many_files_in_one_task(spark, tmp_path, small_blocks, most, pieces):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(most))
+    rng, rows = random.Random(5), []
+    cells = ["a", "line\nbreak", '"', "\n\n", "b,c", "", '"\n"', "x" * 90]
+    for j in range(40):
+        part = [[f"{j}-{i}", *[rng.choice(cells) for _ in range(2)]] for i in range(rng.randint(0, 12))]
+        write_csv(tmp_path / f"f{j}.csv", ["id", "a", "b"], part, ",;"[j % 2], "\n", rng, bom=j % 5 == 0)
+        rows += part
+    put(tmp_path, "empty.csv", "")
+    put(tmp_path, "blank.csv", "\n\r\n\n")
+    text = spark.read.text(str(tmp_path))
+    files = {tuple(sorted(f.rsplit("/", 1)[-1] for f in found)) for found in text.selectExpr("_metadata.file_path f").rdd.mapPartitions(lambda i: [{r.f for r in i}]).collect()}
+    assert max(map(len, files)) > 1 and (text.rdd.getNumPartitions() > 10) == pieces
+    df = D.read_delimited(spark, str(tmp_path), infer=False)
+    assert sorted(tuple(r) for r in df.collect()) == sorted((r[0], *[c or None for c in r[1:]]) for r in rows)
+    assert D.check_delimited(spark, str(tmp_path), ["b"]) == (True, "", len(rows), 3)
+
+
+def test_records_of_one_line_do_not_move(spark, tmp_path):
+    path = put(tmp_path, "x.csv", 'a,b\n1,"x,""y"""\n\n2,z\n')
+    df = D.read_delimited(spark, path)
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 'x,"y"'), (2, "z")]
+    assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_other_pieces_are_an_error(spark, tmp_path, small_blocks):
+    path = put(tmp_path, "x.csv", "a,b\n" + "".join(f'{i},"{i}\n"\n' for i in range(200)))
+    df = D.read_delimited(spark, path, infer=False)
+    assert df.count() == 200
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    with pytest.raises(Exception, match="split for tasks in another way"):
+        D.read_delimited(spark, path, infer=False).unionByName(df).count()
+
+
+def test_check_parses_no_cell(spark, tmp_path, monkeypatch):
+    path = put(tmp_path, "x.csv", 'a,b\n1,"two\nlines"\n\n2,"' + "," * 500 + '"\n')
+    monkeypatch.setattr(D, "_parsed", None)
+    assert D.check_delimited(spark, path, ["b"]) == (True, "", 2, 2)
+
+
+def test_check_of_records_with_many_separators(spark, tmp_path):
+    many = "," * 12000
+    fine = put(tmp_path, "fine.csv", f'a,b\n1,"{many}\n{many}"\n2,{many}\n')
+    assert D.check_delimited(spark, fine, ["b"]) == (True, "", 2, 2)
+    for record in (f"{many}{many}", f'{many},"\n"{many}'):  # more cells than the parser takes
+        bad = D.check_delimited(spark, put(tmp_path, "bad.csv", f"a,b\n{record}\n"), ["b"])
+        assert not bad.ok and bad.message.startswith("Cannot read the files: ") and bad[2:] == (0, 0)
+
+
 def test_one_way_and_another_agree(spark, tmp_path):
     rng = random.Random(3)
     rows = [[rng.choice(["1", "-2", "+3", "9999999999", "1.5", "1e3", "true", "False", "", "x", "007", " 4"]) for _ in range(2)] for _ in range(6)]
