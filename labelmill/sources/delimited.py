@@ -194,18 +194,27 @@ def _read_split(spark: SparkSession, path: str, sep: str | None, schema: T.Struc
     cells = _parsed(records, split.seps, texts)
     sample = cells if sampling_ratio >= 1 else cells.sample(sampling_ratio, seed=1)
     found = sample.agg(*[_fits(F.col(f"`{n}`")).alias(str(i)) for i, n in enumerate(texts.names)]).first()
-    types = [T.StringType() if n == id_column else next((t for t, ok in zip(_INFERRED, found[i], strict=True) if ok), T.StringType()) for i, n in enumerate(texts.names)]
+    types = [T.StringType() if n == id_column else next((t for bit, t in enumerate(_INFERRED) if (found[i] or 0) >> bit & 1), T.StringType()) for i, n in enumerate(texts.names)]
     return _parsed(records, split.seps, T.StructType([T.StructField(n, t) for n, t in zip(texts.names, types, strict=True)]))
 
 
 _INFERRED = (T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType())
 
+# Numbers that all of the number types take.
+_SHORT = r"^[+-]?[0-9]{1,9}\z"
+
+# All that can be cast to a number, and little else: a cast that fails costs many times as much as one that succeeds.
+_NUMBER = (r"(?i)^[\x00-\x20]*[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?[fd]?|\.[0-9]+(?:e[+-]?[0-9]+)?[fd]?|0x[0-9a-f]*\.?[0-9a-f]*p[+-]?[0-9]+[fd]?"
+           r"|inf|infinity|nan)[\x00-\x20]*$")
+
 
 def _fits(cell: Column) -> Column:
-    """For each type that is inferred, whether all cells can be read as it. A column without cells is text."""
-    whole = F.when(cell.rlike(r"^[+-]?[0-9]+$"), cell)
-    own = [whole.try_cast("int").isNotNull(), whole.try_cast("bigint").isNotNull(), ~cell.rlike(r"^\s|\s$") & cell.try_cast("double").isNotNull(), F.lower(cell).isin("true", "false")]
-    return F.struct(*[F.coalesce(F.bool_and(F.when(cell.isNotNull(), ok)), F.lit(False)).alias(f"t{i}") for i, ok in enumerate(own)])
+    """For each type that is inferred, a bit: whether all cells can be read as it. Null for a column without cells, which is text."""
+    whole = F.when(cell.rlike(r"^[+-]?[0-9]+$"), cell).try_cast("bigint")
+    integer = F.when(whole.between(-(2**31), 2**31 - 1), 3).when(whole.isNotNull(), 2).otherwise(0)
+    double = F.when(cell.try_cast("double").isNotNull() & ~cell.rlike(r"^\s|\s$"), 4).otherwise(0)
+    own = F.when(cell.rlike(_SHORT), 7).when(cell.rlike(_NUMBER), integer + double).when(F.lower(cell).isin("true", "false"), 8).otherwise(0)
+    return F.bit_and(F.when(cell.isNotNull(), own))
 
 
 def _schema(schema: T.StructType | str) -> T.StructType:

@@ -2,6 +2,7 @@ import csv
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from labelmill.sources import delimited as D
 
@@ -42,6 +43,26 @@ def test_types_and_id_column(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [("007", 1.5, True, "a"), ("008", 2.0, False, None)]
 
 
+def test_number_pattern_holds_all_that_can_be_cast(spark):
+    rng = random.Random(4)
+    parts = ["1", "0", "+", "-", ".", "e", "E", "d", "F", "0x", "p", "a", "nan", "NaN", "inf", "Infinity", " ", "\t", "\x01", "\n", "\u2028", "_", "L", "٣", "ſ", "K", "true",
+             "False", "2147483647", "2147483648", "-2147483649", "9223372036854775807", "9223372036854775808"]
+    cells = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(1, n))) for n in (2, 4) for _ in range(8000)})
+    cell = F.col("cell")
+    whole = F.when(cell.rlike("^[+-]?[0-9]+$"), cell)
+    want = (F.when(whole.try_cast("int").isNotNull(), 1).otherwise(0) + F.when(whole.try_cast("bigint").isNotNull(), 2).otherwise(0)
+            + F.when(cell.try_cast("double").isNotNull() & ~cell.rlike(r"^\s|\s$"), 4).otherwise(0) + F.when(F.lower(cell).isin("true", "false"), 8).otherwise(0))
+    found = spark.createDataFrame([(c,) for c in [*cells, None]], "cell string").groupBy("cell").agg(D._fits(cell).alias("fits"))
+    assert found.where("cell is null").first().fits is None
+    assert found.where(cell.isNotNull() & ~F.col("fits").eqNullSafe(want)).collect() == []
+    assert {r.fits for r in found.select("fits").distinct().collect()} >= {0, 2, 3, 4, 6, 7, 8}
+
+
+def test_no_cast_of_what_is_no_number(spark):
+    """A cast of text to a double fails slowly; only cells that look like numbers may come to it."""
+    assert not spark.createDataFrame([("1998-02-06 00:00:00",), ("5-LOW",), ("F",), ("1-2",), (".",), ("e5",)], "c string").where(F.col("c").rlike(D._NUMBER)).count()
+
+
 def test_check(spark, tmp_path):
     path = put(tmp_path, "x.csv", "a,b\n1,2\n3,4\n")
     assert D.check_delimited(spark, path, ["a"]) == (True, "", 2, 2)
