@@ -14,32 +14,76 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import chunked, stage, text_buffer, word_hashes, word_spans
+from labelmill.llm.common import chunked, stage, text_buffer, word_hashes
 
 CAPACITY = 4096
 END_ID = 1
-_APART = "\x01"
-_BREAKS = np.zeros(256, bool)
-_BREAKS[[9, 10, 13, 32]] = True
-_KEPT_WORDS = 800_000  # a worker forgets its words beyond these; they are only encoded again
+_KEPT_UNITS = 800_000  # a worker forgets its units beyond these; they are only encoded again
 _STEP = 1 << 19  # bytes of text at a time: arrays over them take tens of times as much
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+# Kinds of bytes. Those of ``_JOINED`` are never cut from a neighbour: apostrophes, which begin contractions, and what is not known by its byte.
+_SPACE, _LETTER, _DIGIT, _SIGN, _JOINED = range(5)
+_WORD_KINDS = np.full(256, _JOINED, np.uint8)
+_WORD_KINDS[[9, 10, 13, 32]] = _SPACE
+_KINDS = _WORD_KINDS.copy()
+for _code in range(128):
+    if _KINDS[_code] != _SPACE and _code != ord("'"):
+        _KINDS[_code] = _LETTER if chr(_code).isalpha() else _DIGIT if chr(_code).isdigit() else _SIGN
+_LATIN = 0xC3  # the first byte of U+00C0 to U+00FF: letters, but for the two whose second bytes follow
+_NO_LETTERS = (0x97, 0xB7)
+# Whether a unit ends between two bytes, by the first one's kind times 5 and the second one's.
+_CUT = np.array([(a != b and _JOINED not in (a, b)) or _SPACE in (a, b) or a == b == _DIGIT for a in range(5) for b in range(5)])
+
+# What a tokenizer must do for its words to be cut: signs, letters and single digits apart, whatever stands beside them.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _cuts_words(told: dict) -> bool:
+    """Whether a tokenizer (its file) cuts words as units are cut here. Its added tokens must be found as they stand, and not be words."""
+    return (
+        told.get("normalizer") == {"type": "Sequence", "normalizers": _NORMALIZERS}
+        and told.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": _PRE_TOKENIZERS}
+        and not any(t["content"].isalpha() or t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in told.get("added_tokens", []))
+    )
+
+
+class _Letters(dict):
+    """For ``str.translate``: what a tokenizer hands its model for each letter; a blank for other characters."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, code: int) -> str:
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{self.tokenizer.normalizer.normalize_str(chr(code))}a")
+        self[code] = pieces[0][0][1:-1] if len(pieces) == 1 and chr(code).isalpha() else " "
+        return self[code]
+
 
 class WordEncoder:
-    """Token ids of whole texts for a tokenizer that drops white space and never merges over it: every run between spaces is encoded once.
+    """Token ids of whole texts for a tokenizer that drops white space and never merges over it: every unit of text is encoded once.
 
-    Runs are cut at blanks, tabs and line ends alone, which such a tokenizer drops; within a run, the library does all. Known runs are looked
+    Words, the runs between blanks, tabs and line ends, are units. Where the tokenizer's file shows that it cuts words further, units are runs of
+    letters, runs of signs and single digits, so that neither numbers nor signs at a word's ends make new ones; added tokens stay whole. Units of
+    letters alone go to the library's model as the tokenizer would hand them on, all others through the whole tokenizer. Known units are looked
     up by a 64-bit hash in a sorted array, which takes a tenth of a dictionary's memory.
     """
 
@@ -48,7 +92,11 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
-        (self.apart,) = self.tokenizer.encode(_APART, add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.cuts = _cuts_words(told)
+        self.added = [t["content"].encode() for t in told.get("added_tokens", [])]
+        self.letters, self.model = _Letters(self.tokenizer), self.tokenizer.model
         self._forget()
 
     def _forget(self) -> None:
@@ -56,42 +104,71 @@ class WordEncoder:
         self.ids, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word. Many words are encoded as one text, told apart by a sign whose one id no other text has."""
-        out, plain = [np.zeros(0, np.uint32)] * len(words), [i for i, w in enumerate(words) if _APART not in w]
-        parts = [plain[begin : begin + 5000] for begin in range(0, len(plain), 5000)]
-        encoded = self.tokenizer.encode_batch_fast([f" {_APART} ".join([words[i] for i in part]) for part in parts], add_special_tokens=False)
-        for part, encoding in zip(parts, encoded, strict=True):
-            ids = np.array(encoding.ids, np.uint32)
-            bounds = np.flatnonzero(ids == self.apart).tolist()
-            for i, a, b in zip(part, [-1, *bounds], [*bounds, len(ids)], strict=True):
-                out[i] = ids[a + 1 : b]
-        for i, w in enumerate(words):
-            if _APART in w:
-                out[i] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+    def _spans(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end of every unit of every text (no unit spans two texts), and the number of the first unit of each text, closed by the total."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+        cut = np.ones(len(data) + 1, bool)
+        if self.cuts:
+            kinds = _KINDS[data]
+            latin = np.flatnonzero(data[:-1] == _LATIN)
+            latin = latin[~np.isin(data[latin + 1], _NO_LETTERS)]
+            kinds[latin] = kinds[latin + 1] = _LETTER
+        else:
+            kinds = _WORD_KINDS[data]
+        cut[1:-1] = _CUT[kinds[:-1] * 5 + kinds[1:]]
+        if self.cuts:
+            raw = data.tobytes()
+            for token in self.added:
+                found = raw.find(token)
+                while found >= 0:
+                    cut[found + 1 : found + len(token)] = False
+                    found = raw.find(token, found + 1)
+        cut[at] = True
+        bounds = np.flatnonzero(cut)
+        inside = np.flatnonzero(kinds[bounds[:-1]] != _SPACE)
+        begins = bounds[inside]
+        return begins, bounds[inside + 1], np.searchsorted(begins, at)
+
+    def _ids(self, units: list[str]) -> list[list[int]]:
+        """The ids of each unit."""
+        out: list[list[int]] = [[]] * len(units)
+        others = []
+        for i, unit in enumerate(units):
+            letters = unit.translate(self.letters) if self.cuts else " "
+            if " " not in letters and unicodedata.is_normalized("NFC", unit):
+                out[i] = [token.id for token in self.model.tokenize(letters)]
+            else:
+                others.append(i)
+        for begin in range(0, len(others), 5000):
+            part = others[begin : begin + 5000]
+            encoded = self.tokenizer.encode_batch_fast([units[i] for i in part], add_special_tokens=False)
+            for i, encoding in zip(part, encoded, strict=True):
+                out[i] = encoding.ids
         return out
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> np.ndarray:
-        encoded = self._ids(words)
+    def _learn(self, hashes: np.ndarray, units: list[str]) -> np.ndarray:
+        encoded = self._ids(units)
         n = len(self.known)
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        while n + len(words) > len(self.begin):
+        total = int(sizes.sum())
+        while n + len(units) > len(self.begin):
             self.begin, self.size = np.concatenate([self.begin, self.begin]), np.concatenate([self.size, self.size])
-        while self.used + sizes.sum() > len(self.ids):
+        while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
-        self.begin[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(words)] = sizes
-        self.ids[self.used : self.used + sizes.sum()] = np.concatenate(encoded)
-        self.used += int(sizes.sum())
-        places, into = np.arange(n, n + len(words)), np.searchsorted(self.known, hashes)
+        self.begin[n : n + len(units)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(units)] = sizes
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
+        self.used += total
+        places, into = np.arange(n, n + len(units)), np.searchsorted(self.known, hashes)
         self.known, self.place = np.insert(self.known, into, hashes), np.insert(self.place, into, places)
         return places
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.known) > _KEPT_WORDS:
+        if len(self.known) > _KEPT_UNITS:
             self._forget()
         data, at = text_buffer(texts)
-        begins, ends, first = word_spans(data, at, _BREAKS)
+        begins, ends, first = self._spans(data, at)
         distinct, sample, inverse = np.unique(word_hashes(data, begins, ends, fold_case=False), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
         places = np.where(self.known[at] == distinct, self.place[at], -1) if len(self.known) else np.full(len(distinct), -1)
@@ -100,15 +177,12 @@ class WordEncoder:
             raw = data.tobytes()
             spans = zip(begins[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)
             places[new] = self._learn(distinct[new], [raw[a:b].decode() for a, b in spans])
-        out = []
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            words = places[inverse[a:b]]
-            sizes = self.size[words]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            shift = np.repeat(self.begin[words] - (ends - sizes), sizes)
-            out.append(self.ids[shift + np.arange(total)])
-        return out
+        units = places[inverse]
+        sizes = self.size[units]
+        until = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.begin[units] - until[:-1], sizes) + np.arange(until[-1])]
+        bounds = until[first].tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}

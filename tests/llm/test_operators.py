@@ -1,5 +1,6 @@
 """Each operator on small tables: brute force, and nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+import json
 import math
 import random
 import re
@@ -380,6 +381,35 @@ def test_packing(spark):
     assert len(bins) == len(room) and packing.best_fit_pack(table(spark, []), path).count() == 0
 
 
+def test_packing_encodes_each_unit_once():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    texts = [f"tick{i}, ({i * 7919}) Église-{i} naïve{'!' * (i % 4)} tock" for i in range(2000)]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) < 40  # 8,000 words
+
+
+@pytest.mark.parametrize("change", [{}, {"normalizer": {"type": "NFC"}}, {"normalized": True}])
+def test_packing_ids_are_the_tokenizers(tmp_path, change):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        told = json.load(file)
+    if "normalized" in change:
+        told["added_tokens"][0] |= change
+    else:
+        told |= change
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    tokenizer, encoder = Tokenizer.from_file(str(path)), packing.WordEncoder(str(path))
+    assert encoder.cuts == (not change)
+    signs = [*"aHsStT19-.,'=<>|\n\t\v\x01\x1f \xa0", *"ÀÉéß×÷ªµ½İıſǅΣςΩΩKÅẖﬁ٣中가각क़़…—’", *"\u2126\u212a\u212b\u1fef\u037e\u0300\u0308\u0323\u0331\u0338\u0327\u1161\u200d\u2028"]
+    signs += ["<|endoftext|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|endoftext", "|>", "'s", "'re", "'LL", "ΑΣ", "l'système"]
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(signs, k=rng.choice([0, 1, 3, 30]))) for _ in range(4000)] + [None]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, ascii(text)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     before, names = docs, docs.columns
