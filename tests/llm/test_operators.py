@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -256,6 +257,55 @@ def test_top_products(spark):
     assert inner_products.top_products(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def _best_pairs(rows, is_query, k):
+    """Brute force, in Python's whole numbers: query id, rank, id and score."""
+    out = []
+    for query_id in sorted({i for i, _ in rows if is_query(i)}):
+        pairs = [(-sum(a * b for a, b in zip(q, v, strict=True)), i) for j, q in rows if j == query_id for i, v in rows if i != j and len(v) == len(q)]
+        out += [(query_id, rank, i, -score) for rank, (score, i) in enumerate(sorted(pairs)[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("scale", [8.0, 2.0**18])
+def test_top_products_in_many_slabs_and_groups(spark, monkeypatch, scale):
+    monkeypatch.setattr(inner_products, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(inner_products, "SLAB_BYTES", 900)
+    rng = np.random.default_rng(11)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.integers(-40, 40, size=(300, 7)) * rng.choice([0.125, 1.0, 64.0], size=(300, 1)))]
+    rows += [(300 + i, rows[i % 7][1]) for i in range(40)] + [(20, [1.0] * 7), (400, [0.0] * 7), (405, [3.0, 4.0]), (406, [1.0, -1.0]), (407, [1.0, -1.0]), (410, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = inner_products.top_products(df.union(df.limit(50)), F.col("vec_id") % 5 == 0, k=6, scale=scale).orderBy("query_id", "rank").collect()
+    assert list(map(tuple, got)) == _best_pairs([(i, [math.floor(e * scale) for e in v]) for i, v in rows], lambda i: i % 5 == 0, 6)
+
+
+def test_top_products_of_unit_vectors(monkeypatch):
+    # Equal lengths leave no block and no row out: what counts is the time of a pair.
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(28_672, 64))
+    x = np.floor(x / np.linalg.norm(x, axis=1)[:, None] * 1024).astype(np.int64)
+    x[9000] = x[100]
+    blocks = [(np.arange(i, i + 4096), x[i : i + 4096].astype(np.int16)) for i in range(0, len(x), 4096)]
+    query_ids, q = np.arange(100, 4100), x[100:4100].astype(np.int16)
+    turned = np.linalg.eigh((x.T @ x).astype(float))[1][:, ::-1].copy()
+    begun = time.process_time()
+    best = inner_products.search(query_ids, q, np.full(len(q), -np.inf), blocks, turned, 10)
+    assert time.process_time() - begun < 15
+    got = defaultdict(list)
+    for query_id, vec_id, score in zip(*(h.tolist() for h in best.hits()), strict=True):
+        got[query_id].append((vec_id, score))
+    for query_id in range(100, 4100, 13):
+        scores = x @ x[query_id]
+        order = [i for i in np.lexsort((np.arange(len(x)), -scores))[:11] if i != query_id][:10]
+        assert got[query_id] == [(i, scores[i]) for i in order]
+    # Floors leave out what is lower, and nothing else; heads change nothing either.
+    floors = best.scores[:, 4].astype(float)
+    for head in (16, 48):
+        monkeypatch.setattr(inner_products, "_cheapest_head", lambda *_, head=head: head)
+        again = inner_products.search(query_ids, q, floors, blocks, turned, 10)
+        assert (again.ids[:, :5] == best.ids[:, :5]).all() and (again.scores[:, :5] == best.scores[:, :5]).all()
+        assert (again.have == (best.scores >= best.scores[:, 4:5]).sum(axis=1)).all()
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     plain = ["house", "river", "stone", "green", "water", "letter", "window", "garden", "moment", "paper"]
